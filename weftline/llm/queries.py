@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import tokenize
+from weftline.llm import sentences, tokenize
 from weftline.plans.stages import spread, table
 
 
@@ -15,7 +15,18 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", tokenize.token_ids(docs, "text").alias("ids"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_spans(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return sentences.sentences(docs).select("doc_id", "start_char", "end_char", "sentence")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_ids": p8_ids,
+    "p10_found": p10_found,
+    "p10_sentences": p10_sentences,
 }
 ORACLES: dict[str, str] = {}
