@@ -93,6 +93,10 @@ _CUTS: list[tuple[str, str]] = [
 ]
 
 
+def _where_held(quote: str, pattern: str):
+    return lambda x: F.when(F.contains(x, F.lit(quote)), F.regexp_replace(x, pattern, MASK)).otherwise(x)
+
+
 def masked(text: Column) -> Column:
     """The text with every point that ends nothing replaced, character for character."""
     c = F.translate(text, MASK + CUT, OTHER + OTHER)
@@ -100,7 +104,7 @@ def masked(text: Column) -> Column:
         c = F.regexp_replace(c, pattern, to)
     for quote, pattern in _QUOTED:
         # a lambda binds the text once; a plain CASE would repeat the whole chain in each branch
-        c = F.transform(F.array(c), lambda x, q=quote, p=pattern: F.when(F.contains(x, F.lit(q)), F.regexp_replace(x, p, MASK)).otherwise(x))[0]
+        c = F.transform(F.array(c), _where_held(quote, pattern))[0]
     return c
 
 
