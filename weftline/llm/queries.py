@@ -5,11 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftline.llm import sentences, tokenize
+from weftline.llm import encoding, sentences, tokenize
 from weftline.plans.stages import spread, table
 
 
+def _p2_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "raw_jobs").select(F.lit("raw_jobs").alias("tab"), F.col("raw_id").cast("string").alias("rec_key"), F.col("descriptionText").alias("text"))
+    jobs = table(spark, sf_dir, "jobs").select(F.lit("jobs").alias("tab"), F.col("id").alias("rec_key"), F.col("title").alias("text"))
+    return raw.unionByName(jobs)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.affected(_p2_values(spark, sf_dir), ["tab", "rec_key"])
+
+
+def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.restored(_p2_values(spark, sf_dir), ["tab", "rec_key"])
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", tokenize.token_ids(docs, "text").alias("ids"))
@@ -25,6 +40,8 @@ def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_restored": p2_restored,
     "p8_ids": p8_ids,
     "p10_found": p10_found,
     "p10_sentences": p10_sentences,
