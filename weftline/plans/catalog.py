@@ -2,6 +2,30 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = "listing_pipeline"
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from weftline.operators import history, instants
+from weftline.plans.stages import table
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return instants.listing_times(*(table(spark, sf_dir, t) for t in ("raw_jobs", "jobright_items", "feeds")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.job_versions(table(spark, sf_dir, "job_snapshots"), table(spark, sf_dir, "scrape_runs"))
+
+
+def p5_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.job_ledger(table(spark, sf_dir, "job_snapshots"), table(spark, sf_dir, "scrape_runs"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_ledger": p5_ledger,
+}
+ORACLES: dict[str, str] = {}
+FLAGSHIP = "p5_found"
