@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.operators import history, instants
+from weftline.operators import history, instants, units
 from weftline.plans.stages import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pay = units.yearly_pay(table(spark, sf_dir, "raw_jobs"), table(spark, sf_dir, "unit_factors"))
+    return pay.select("raw_id", "min_usd_year", "max_usd_year")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return instants.listing_times(*(table(spark, sf_dir, t) for t in ("raw_jobs", "jobright_items", "feeds")))
 
@@ -23,6 +28,7 @@ def p5_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_ledger": p5_ledger,
