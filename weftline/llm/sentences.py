@@ -18,7 +18,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MASK, CUT, OTHER = "", "", ""
-BLANKS = r"\s   -     　﻿"
+# Blanks, as the signs themselves and as members of a character class.
+_BLANK_SIGNS = " \t\n\v\f\r\u00a0" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000\ufeff"
+BLANKS = r"\s\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
 # Abbreviations whose point never ends a sentence, whatever follows.
 TITLES = (
@@ -42,78 +44,87 @@ _CLOSE = r"\"”“»’'›」』）)\]}"
 _NOT_NEXT = r"\p{Ll},;:%/=&+)\]}»”」』、，"
 _ITEM = rf"[ \t]*(?:[•‣◦▪·*–—-]|\d{{1,3}}[.){MASK}])[ \t]"
 
-#: (pattern, replacement) in order; a replacement keeps the length. The mark comes first and what must stand
-#: before it is looked up behind it, so that long look-behinds are tried at marks only.
-_MASKS: list[tuple[str, str]] = [
+#: What must stand behind and before a mark for it to end nothing. All are tried in one pass over the text; what
+#: stands before is looked up from behind the mark, so that look-behinds are tried at marks only.
+_NO_END: list[str] = [
     # addresses: scheme or www, mail, host and path
-    (r"[.!?](?=[^\s.!?\"”»)])(?<=(?:https?://|www\.)[^\s]{0,300}.)", MASK),
-    (r"\.(?=\S)(?<=www\.)", MASK),
-    (r"[.?!](?=[A-Za-z0-9_.+-]{1,80}+@)(?<=[A-Za-z0-9_].)", MASK),
-    (r"\.(?=[A-Za-z0-9_])(?<=@[A-Za-z0-9_.\-]{1,80}\.)", MASK),
+    r"(?=[^\s.!?\"”»)])(?<=(?:https?://|www\.)[^\s]{0,300}.)",
+    r"(?=\S)(?<=www\.)",
+    r"(?=[A-Za-z0-9_.+-]{1,80}+@)(?<=[A-Za-z0-9_].)",
+    r"(?=[A-Za-z0-9_])(?<=@[A-Za-z0-9_.\-]{1,80}\.)",
     # decimals, versions, times
-    (r"\.(?=\p{Nd})(?<![\p{L}\p{M}]\.)", MASK),
+    r"(?=\p{Nd})(?<=(?<![\p{L}\p{M}])\.)",
     # dotted abbreviations: the inner points, then initials
-    (r"\.(?=\p{L}\.)(?<=(?<![\p{L}\p{M}])\p{L}\.)", MASK),
-    (rf"\.(?=\s*\p{{Lu}})(?<=(?<![\p{{L}}\p{{M}}\p{{N}}.{MASK}])\p{{Lu}}\.)", MASK),
-    (r"\.(?<=(?<![\p{L}\p{M}])د\.|डॉ\.|श्री\.|डा\.)", MASK),
+    r"(?=\p{L}\.)(?<=(?<![\p{L}\p{M}])\p{L}\.)",
+    r"(?=\s*\p{Lu})(?<=(?<![\p{L}\p{M}\p{N}.])\p{Lu}\.)",
+    r"(?<=(?<![\p{L}\p{M}])د\.|डॉ\.|श्री\.|डा\.)",
     # abbreviations
-    (rf"\.(?<=(?<![\p{{L}}\p{{M}}])(?i:{'|'.join(x.replace('.', f'[.{MASK}]') for x in TITLES)})\.)", MASK),
-    (rf"\.(?=\s{{0,4}}\p{{Nd}})(?<=(?<![\p{{L}}\p{{M}}])(?i:{'|'.join(BEFORE_NUMBERS)})\.)", MASK),
-    (rf"\.(?=\s{{1,4}}(?:{'|'.join(ORDINAL_NOUNS)}))(?<=(?<![\p{{L}}\p{{N}}])\p{{Nd}}{{1,2}}\.)", MASK),
+    rf"(?<=(?<![\p{{L}}\p{{M}}])(?i:{'|'.join(x.replace('.', '[.]') for x in TITLES)})\.)",
+    rf"(?=\s{{0,4}}\p{{Nd}})(?<=(?<![\p{{L}}\p{{M}}])(?i:{'|'.join(BEFORE_NUMBERS)})\.)",
+    rf"(?=\s{{1,4}}(?:{'|'.join(ORDINAL_NOUNS)}))(?<=(?<![\p{{L}}\p{{N}}])\p{{Nd}}{{1,2}}\.)",
     # number of a list item
-    (r"(?m)\.(?=[ \t])(?<=^[ \t]{0,8}\d{1,3}\.)", MASK),
+    r"(?=[ \t])(?<=(?:^|\n)[ \t]{0,8}\d{1,3}\.)",
 ]
-
-#: (closing or opening sign, pattern): end marks inside quotations, but for the last ones; looked for only in texts with the sign.
-_QUOTED: list[tuple[str, str]] = [
-    ("”", rf"[{_ENDS}{_WIDE}](?![{_ENDS}{_WIDE}]*”)(?=[^“”„]{{1,300}}+”)"),
-    ("„", rf"[{_ENDS}{_WIDE}](?![{_ENDS}{_WIDE}]*“)(?=[^“”„]{{1,300}}+“)(?<=„[^“”„]{{0,300}}.)"),
-    ("»", rf"[{_ENDS}{_WIDE}](?![{_ENDS}{_WIDE}]*\s?»)(?=[^«»]{{1,300}}+»)(?<=«[^«»]{{0,300}}.)"),
-    ("」", rf"[{_ENDS}{_WIDE}](?![{_ENDS}{_WIDE}]*[」』])(?=[^「」『』]{{1,300}}+[」』])"),
-    ('"', rf"[{_ENDS}](?=\s[^\"]{{1,300}}+\"(?:\s|$))(?<=(?:^|[\s(])\"[^\"]{{1,300}})"),
+_MASKED = f"[.!?](?:{'|'.join(_NO_END)})"
+
+#: (borders of quotations, whole quotation, signs of which the text must hold one). A text is taken apart at the
+#: borders and its quotations alone are looked into.
+_QUOTED: list[tuple[str, str, str]] = [
+    (r"(?=[“«「『])|(?<=[”»」』])", r"(?s)\A(?:“[^“]{1,300}”|«[^«]{1,300}»|「[^「]{1,300}」|『[^『]{1,300}』)\z", "“«「『"),
+    (r"(?=„)|(?<=“)", r"(?s)\A„[^„]{1,300}“\z", "„"),
+    (r"(?=(?<=[\s(])\"(?=\S))|(?<=[.!?,]\")(?=\s)|(?<=\")(?=\z)", r"(?s)\A\"[^\"]{1,300}\"\z", '"'),
 ]
+#: End marks of a quotation but for its last ones.
+_INNER = rf"[{_ENDS}{_WIDE}](?![{_ENDS}{_WIDE}]*\s?[”“»」』\"]\z)"
 
-#: (pattern, replacement) in order; a replacement adds separators.
-_CUTS: list[tuple[str, str]] = [
-    (rf"(\n[{BLANKS}]*+(?<=\n[{BLANKS}]{{0,200}}\n[{BLANKS}]{{0,200}}))", rf"{CUT}$1"),
-    (rf"(\n)(?={_ITEM})", rf"{CUT}$1"),
+#: Behind these a unit ends.
+_CUT_BEHIND: list[str] = [
     # a mark, closing quotes, a blank, and what may begin a sentence
-    (rf"([{_ENDS}]++[{_CLOSE}]*+)(?=[{BLANKS}]++(?:[^{BLANKS}{_NOT_NEXT}]|\p{{Ll}}+\p{{Lu}}))", rf"$1{CUT}"),
+    rf"[{_ENDS}]++[{_CLOSE}]*+(?=[{BLANKS}]++(?:[^{BLANKS}{_NOT_NEXT}]|\p{{Ll}}+\p{{Lu}}))",
     # the blank is missing
-    (rf"(\.++[{_CLOSE}]*+)(?=[\p{{Lu}}\p{{Lo}}¿¡“„«(∑\p{{So}}])(?<=[\p{{Ll}}\p{{N}}\p{{M}}\p{{Lo}})\]”\"»’\p{{So}}\p{{Cf}}]\.{{1,9}}[{_CLOSE}]{{0,4}})", rf"$1{CUT}"),
-    (rf"(\.)(?=\p{{Lu}}[\p{{Ll}} ’'])(?<=\p{{Lu}}\.)", rf"$1{CUT}"),
-    (rf"([!?؟।॥۔][.!?؟।॥۔]*+(?![”“»\"」])[)\]]*+)(?=[\p{{Lu}}\p{{Lo}}¿¡“„«(∑\p{{So}}])", rf"$1{CUT}"),
+    rf"\.++[{_CLOSE}]*+(?=[\p{{Lu}}\p{{Lo}}¿¡“„«(∑\p{{So}}])(?<=[\p{{Ll}}\p{{N}}\p{{M}}\p{{Lo}})\]”\"»’\p{{So}}\p{{Cf}}]\.{{1,9}}[{_CLOSE}]{{0,4}})",
+    r"\.(?=\p{Lu}[\p{Ll} ’'])(?<=\p{Lu}\.)",
+    r"[!?؟।॥۔][.!?؟।॥۔]*+(?![”“»\"」])[)\]]*+(?=[\p{Lu}\p{Lo}¿¡“„«(∑\p{So}])",
     # a closing quotation followed directly by a capital
-    (rf"([.!?]++[”»\"])(?=\p{{Lu}}\p{{Ll}})", rf"$1{CUT}"),
+    r"[.!?]++[”»\"](?=\p{Lu}\p{Ll})",
     # scripts with wide marks; behind a closing quotation the sentence goes on
-    (rf"([{_WIDE}]++[）)]*+)(?![{_WIDE}{_CLOSE}{CUT}])", rf"$1{CUT}"),
-    (rf"([{_WIDE}]++[」』”’]++)(?=[{BLANKS}「『“])", rf"$1{CUT}"),
-    # Thai
-    (rf"(?<=[ก-๎])([{BLANKS}]++)(?=[ก-๎])", rf"{CUT}$1"),
+    rf"[{_WIDE}]++[）)]*+(?![{_WIDE}{_CLOSE}])",
+    rf"[{_WIDE}]++[」』”’]++(?=[{BLANKS}「『“])",
+]
+#: Before these a unit ends: a blank line, a list item, a blank between Thai words.
+_CUT_BEFORE: list[str] = [
+    rf"\n[{BLANKS}]*+(?<=\n[{BLANKS}]{{0,200}}\n[{BLANKS}]{{0,200}})",
+    rf"\n(?={_ITEM})",
+    rf"(?<=[ก-๎])[{BLANKS}]++(?=[ก-๎])",
 ]
 
 
-def _where_held(quote: str, pattern: str):
-    return lambda x: F.when(F.contains(x, F.lit(quote)), F.regexp_replace(x, pattern, MASK)).otherwise(x)
+def _quotations_masked(borders: str, whole: str, signs: str):
+    inside = lambda q: F.when(q.rlike(whole), F.regexp_replace(q, _INNER, MASK)).otherwise(q)
+
+    def of(x: Column) -> Column:
+        held = F.lit(False)
+        for sign in signs:
+            held = held | F.contains(x, F.lit(sign))
+        return F.when(held, F.array_join(F.transform(F.split(x, borders, -1), inside), "")).otherwise(x)
+
+    return of
 
 
 def masked(text: Column) -> Column:
     """The text with every point that ends nothing replaced, character for character."""
     c = F.translate(text, MASK + CUT, OTHER + OTHER)
-    for pattern, to in _MASKS:
-        c = F.regexp_replace(c, pattern, to)
-    for quote, pattern in _QUOTED:
+    c = F.regexp_replace(c, _MASKED, MASK)
+    for quoted in _QUOTED:
         # a lambda binds the text once; a plain CASE would repeat the whole chain in each branch
-        c = F.transform(F.array(c), _where_held(quote, pattern))[0]
+        c = F.transform(F.array(c), _quotations_masked(*quoted))[0]
     return c
 
 
 def pieces(text: Column) -> Column:
     """The masked text split at the units' borders; put together again the pieces are the masked text."""
-    c = masked(text)
-    for pattern, to in _CUTS:
-        c = F.regexp_replace(c, pattern, to)
-    return F.split(c, CUT, -1)
+    c = F.regexp_replace(masked(text), f"(?=[{_ENDS}{_WIDE}])(?:{'|'.join(_CUT_BEHIND)})", f"$0{CUT}")
+    return F.split(F.regexp_replace(c, "|".join(_CUT_BEFORE), f"{CUT}$0"), CUT, -1)
 
 
 def sentence_spans(df: DataFrame, text: str = "text") -> DataFrame:
@@ -129,8 +140,8 @@ def sentence_spans(df: DataFrame, text: str = "text") -> DataFrame:
             row,
             no,
             F.length(part).alias(size),
-            F.length(F.regexp_extract(part, rf"^[{BLANKS}]*", 0)).alias(lead),
-            F.length(F.regexp_extract(part, rf"[{BLANKS}]*\z", 0)).alias("__tail"),
+            (F.length(part) - F.length(F.ltrim(F.col(part), F.lit(_BLANK_SIGNS)))).alias(lead),
+            (F.length(part) - F.length(F.rtrim(F.col(part), F.lit(_BLANK_SIGNS)))).alias("__tail"),
         )
     )
     before = Window.partitionBy(row).orderBy(no).rowsBetween(Window.unboundedPreceding, -1)
@@ -164,8 +175,8 @@ def sentences(df: DataFrame, text: str = "text") -> DataFrame:
         spans.select(*keep, F.col(text).alias("__text"), F.posexplode(F.arrays_zip("__starts", "__ends")).alias("__no", "__s"))
         .where(F.col("__s.__ends") > 0)
         .select(*keep, F.col("__s.__starts").alias("__at"), F.expr("substring(__text, __s.__starts + 1, __s.__ends)").alias("__raw"))
-        .withColumn("__lead", F.length(F.regexp_extract("__raw", rf"^[{BLANKS}]*", 0)))
-        .withColumn("sentence", F.regexp_replace("__raw", rf"^[{BLANKS}]+|[{BLANKS}]+\z", ""))
+        .withColumn("__lead", F.length("__raw") - F.length(F.ltrim(F.col("__raw"), F.lit(_BLANK_SIGNS))))
+        .withColumn("sentence", F.trim(F.col("__raw"), F.lit(_BLANK_SIGNS)))
         .where(F.length("sentence") > 0)
         .withColumn("start_char", (F.col("__at") + F.col("__lead")).cast("bigint"))
         .withColumn("end_char", F.col("start_char") + F.length("sentence"))
