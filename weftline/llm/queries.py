@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import encoding, sentences, tokenize
+from weftline.llm import encoding, fusion, sentences, tokenize
 from weftline.plans.stages import spread, table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.surviving_rows(table(spark, sf_dir, "jobs"), table(spark, sf_dir, "feeds"))
+
+
+def p1_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.merged_records(table(spark, sf_dir, "jobs"), table(spark, sf_dir, "feeds"))
+
+
+def p1_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.source_report(table(spark, sf_dir, "jobs"), table(spark, sf_dir, "feeds"))
+
+
 def _p2_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "raw_jobs").select(F.lit("raw_jobs").alias("tab"), F.col("raw_id").cast("string").alias("rec_key"), F.col("descriptionText").alias("text"))
     jobs = table(spark, sf_dir, "jobs").select(F.lit("jobs").alias("tab"), F.col("id").alias("rec_key"), F.col("title").alias("text"))
@@ -40,6 +52,9 @@ def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_merged": p1_merged,
+    "p1_sources": p1_sources,
     "p2_found": p2_found,
     "p2_restored": p2_restored,
     "p8_ids": p8_ids,
