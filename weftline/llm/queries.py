@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import encoding, fusion, sentences, tokenize
+from weftline.llm import encoding, fusion, names, sentences, tokenize
 from weftline.plans.stages import spread, table
 
 
@@ -37,6 +37,15 @@ def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.restored(_p2_values(spark, sf_dir), ["tab", "rec_key"])
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = table(spark, sf_dir, "jobs").select(F.col("id").alias("job_id"), "company")
+    return names.variant_rows(jobs, "job_id", "company", table(spark, sf_dir, "companies"), "company_id", "name")
+
+
+def p7_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.attribute(table(spark, sf_dir, "jobs"), "company", table(spark, sf_dir, "companies"), "company_id", "name")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", tokenize.token_ids(docs, "text").alias("ids"))
@@ -57,6 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_sources": p1_sources,
     "p2_found": p2_found,
     "p2_restored": p2_restored,
+    "p7_found": p7_found,
+    "p7_spellings": p7_spellings,
     "p8_ids": p8_ids,
     "p10_found": p10_found,
     "p10_sentences": p10_sentences,
