@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import encoding, fusion, names, sentences, tokenize
+from weftline.llm import encoding, fusion, names, neardup, sentences, tokenize
 from weftline.plans.stages import spread, table
 
 
@@ -37,6 +37,17 @@ def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.restored(_p2_values(spark, sf_dir), ["tab", "rec_key"])
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "raw_jobs").select("raw_id", "descriptionText")
+    pairs = neardup.linked_pairs(spread(texts), "raw_id", "descriptionText", width=3, similarity=0.5, min_chars=300)
+    return pairs.toDF("raw_id_a", "raw_id_b")
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "raw_jobs").select("raw_id", "descriptionText")
+    return neardup.groups(spread(texts), "raw_id", "descriptionText", width=3, similarity=0.5, min_chars=300)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = table(spark, sf_dir, "jobs").select(F.col("id").alias("job_id"), "company")
     return names.variant_rows(jobs, "job_id", "company", table(spark, sf_dir, "companies"), "company_id", "name")
@@ -66,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_sources": p1_sources,
     "p2_found": p2_found,
     "p2_restored": p2_restored,
+    "p6_found": p6_found,
+    "p6_groups": p6_groups,
     "p7_found": p7_found,
     "p7_spellings": p7_spellings,
     "p8_ids": p8_ids,
