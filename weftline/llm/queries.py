@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import encoding, fusion, names, neardup, sentences, tokenize
+from weftline.llm import encoding, fusion, names, neardup, packing, sentences, tokenize
 from weftline.plans.stages import spread, table
 
 
@@ -62,6 +62,20 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", tokenize.token_ids(docs, "text").alias("ids"))
 
 
+def _p9_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packing.sizes(docs, tokenize.token_count(docs, "text"))
+
+
+def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_p9_sizes(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
+
+
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packs = table(spark, sf_dir, "pack_sizes")
+    return packing.containers(packing.packed(_p9_sizes(spark, sf_dir), packs), packs)
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_spans(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -82,6 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_spellings": p7_spellings,
     "p8_ids": p8_ids,
+    "p9_packed": p9_packed,
+    "p9_containers": p9_containers,
     "p10_found": p10_found,
     "p10_sentences": p10_sentences,
 }
