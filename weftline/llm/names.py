@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -63,7 +64,8 @@ def plain(text: str) -> str:
     return s.replace("’", "'").replace("ß", "ss")
 
 
-def words(text: str) -> list[str]:
+@lru_cache(100_000)
+def words(text: str) -> tuple[str, ...]:
     """A name's words in order: the part that trades, without legal endings, additions and a leading article."""
     s = re.sub(FORMERLY, " ", plain(text))
     s = re.split(TRADING_AS, s)[-1]
@@ -75,9 +77,10 @@ def words(text: str) -> list[str]:
         out.pop()
     if len(out) > 1 and out[0] == "the":
         out.pop(0)
-    return out
+    return tuple(out)
 
 
+@lru_cache(200_000)
 def distance(a: str, b: str, most: int) -> int:
     """Edits (one letter in, out, other, or two swapped) between two words; most + 1 where there are more."""
     if abs(len(a) - len(b)) > most:
@@ -109,6 +112,7 @@ def _shortened(short: str, word: str) -> bool:
     return all(c in it for c in short) or short[-1] == "s" and word[-1] == "s" and _shortened(short[:-1], word)
 
 
+@lru_cache(200_000)
 def word_cost(said: str, meant: str) -> float:
     """Cost of one word for another; MISSING and more where they have nothing in common."""
     if said == meant:
@@ -128,7 +132,7 @@ def word_cost(said: str, meant: str) -> float:
     return min(near, SHORT if _shortened(said, meant) else 99.0)
 
 
-def _align(said: list[str], meant: list[str], rare: set[str]) -> float:
+def _align(said: Sequence[str], meant: Sequence[str], rare: set[str]) -> float:
     """Cost of the assignment of the words found greedily from the surest pair on."""
     pairs = sorted((word_cost(s, m), abs(i - j), i, j) for i, s in enumerate(said) for j, m in enumerate(meant))
     used_s: dict[int, int] = {}
@@ -161,6 +165,14 @@ def channel_cost(spelling: str, form: str, rare: set[str]) -> float:
     glued, whole = "".join(said), "".join(meant)
     if glued == whole:
         return 0.3
+    # unless some telling word comes near, no alignment is worth trying
+    if not any(word_cost(w, r) < 50 for w in said for r in rare):
+        d = distance(glued, whole, 2)
+        if d <= 2:
+            return 0.5 + TYPO * d
+        stuck = [*said, *(a + b for a, b in zip(said, said[1:]))]
+        if not any(word_cost(w, r) < 50 for w in stuck for r in rare):
+            return 99.0
     best = _align(said, meant, rare)
     for i, w in enumerate(said):
         # initials of successive words
@@ -184,7 +196,7 @@ def channel_cost(spelling: str, form: str, rare: set[str]) -> float:
 @F.pandas_udf(T.StructType().add("glued", T.StringType()).add("parts", T.ArrayType(T.StringType())))
 def _prepared(names: pd.Series) -> pd.DataFrame:
     out = [words(x) for x in names]
-    return pd.DataFrame({"glued": ["".join(w) for w in out], "parts": out})
+    return pd.DataFrame({"glued": ["".join(w) for w in out], "parts": [list(w) for w in out]})
 
 
 def trigrams(text: str) -> Column:
@@ -211,22 +223,19 @@ def attribute(rows: DataFrame, name: str, register: DataFrame, form_id: str, for
     )
     # a form of common words alone is told by all of them
     known = forms.join(telling, "form_id", "left").withColumn("rare", F.coalesce("rare", "parts"))
-    index = materialize(
-        known.withColumn("__r", F.array_join("rare", ""))
-        .select("form_id", F.explode(trigrams("__r")).alias("g"))
-        .join(known.select("form_id", F.length(F.array_join("rare", "")).alias("len")), "form_id"),
-        "names-index",
-    )
+    told_by = materialize(known.select("form_id", F.explode("rare").alias("word")), "names-telling")
+    index = told_by.select("word").distinct().select("word", F.length("word").alias("len"), F.explode(trigrams("word")).alias("g"))
     exact = counts.join(forms.select("form_id", "form"), F.col("spelling") == F.col("form")).select("spelling", "n", "form_id", "form", F.lit(0.0).alias("cost"))
     loose = counts.join(forms.select("form"), F.col("spelling") == F.col("form"), "left_anti").where(~F.col("glued").isin(*PLACEHOLDERS))
     grams = loose.select("spelling", F.explode(trigrams("glued")).alias("g"))
-    near = (
+    near_words = (
         grams.join(index, "g")
-        .groupBy("spelling", "form_id")
+        .groupBy("spelling", "word")
         .agg(F.count(F.lit(1)).alias("common"), F.first("len").alias("len"))
-        .where(F.col("common") >= F.greatest(F.lit(2), F.ceil((F.col("len") - 2) * 0.25)))
-        .select("spelling", "form_id")
+        # one edit takes at most four trigrams; of long words a share is enough
+        .where(F.col("common") >= F.greatest(F.least(F.lit(2), F.col("len") - 2), F.least(F.col("len") - 6, F.ceil((F.col("len") - 2) * 0.4))))
     )
+    near = near_words.join(told_by, "word").select("spelling", "form_id").distinct()
     prior = exact.select("form_id", F.col("n").alias("as_is"))
     pairs = near.join(known.select("form_id", "form", "rare"), "form_id").join(prior, "form_id", "left").join(counts.select("spelling", "n"), "spelling")
 
