@@ -76,8 +76,9 @@ def jaccard(a: Column, b: Column) -> Column:
 def shingles(c: Column, size: int = 3, most: int = 600) -> Column:
     """Distinct runs of words; of the first `most` words, which is part of the measure's definition."""
     w = F.slice(ascii_words(norm_match(c)), 1, most)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, size), " "))
-    return F.when(F.size(w) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    # side by side, not by index: no lambda may refer to what a Python function made
+    beside = F.arrays_zip(*[F.slice(w, i + 1, F.greatest(F.size(w) - size + 1, F.lit(0))).alias(f"w{i}") for i in range(size)])
+    return F.array_distinct(F.transform(beside, lambda x: F.concat_ws(" ", *[x[f"w{i}"] for i in range(size)])))
 
 
 def keyword_tokens(keyword: str) -> list[str]:
@@ -152,8 +153,8 @@ def html_to_text(c: Column) -> Column:
     s = F.regexp_replace(s, rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>", "\n")
     s = decode_entities(F.regexp_replace(s, "<[^>]+>", " "))
     lines = F.transform(F.split(s, "\n", -1), collapse_ws)
-    kept = F.filter(lines, lambda x, i: (x != "") | ((i > 0) & (F.get(lines, i - 1) != "")))
-    return F.coalesce(F.regexp_replace(F.array_join(kept, "\n"), rf"^[{WS}]+|[{WS}]+\z", ""), F.lit(""))
+    squeezed = F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n")
+    return F.coalesce(F.regexp_replace(squeezed, rf"^[{WS}]+|[{WS}]+\z", ""), F.lit(""))
 
 
 def refusal(body: Column, status: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.operators import history, instants, units
+from weftline.plans import table_queries, text_queries
 from weftline.plans.stages import table
 
 
@@ -27,11 +28,11 @@ def p5_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.job_ledger(table(spark, sf_dir, "job_snapshots"), table(spark, sf_dir, "scrape_runs"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = text_queries.QUERIES | table_queries.QUERIES | {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_ledger": p5_ledger,
 }
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "p5_found"
+ORACLES: dict[str, str] = text_queries.ORACLES | table_queries.ORACLES
+FLAGSHIP = "listing_pipeline"
