@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHARED_KEY = "spark.checkpoint.dir"
 
@@ -42,6 +44,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a bare key up to which a table, once counted, is sent to all executors.
+SMALL_KEYS = 1_000_000
+
+
+def sent_if_small(keys: DataFrame, most: int = SMALL_KEYS) -> DataFrame:
+    """A table of bare keys, marked for sending only if it has been counted to at most `most` rows; else it is joined by shuffle."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that are done with; their results are tables by then."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_scratch(spark: SparkSession, df: DataFrame) -> None:
     """Removes a table written by materialize that no later plan reads."""
     jvm = spark.sparkContext._jvm
