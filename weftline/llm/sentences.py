@@ -129,7 +129,7 @@ def pieces(text: Column) -> Column:
 
 def sentence_spans(df: DataFrame, text: str = "text") -> DataFrame:
     """df's rows once for each unit, without the text, with start_char and end_char (code points, end exclusive)."""
-    keep = [c for c in df.columns if c != text]
+    keep = [c for c in df.columns if c not in (text, "start_char", "end_char")]
     row, no, part, size, lead, at = "__row", "__no", "__part", "__size", "__lead", "__at"
     cut = (
         df.where(F.length(F.col(text)) > 0)
@@ -158,10 +158,8 @@ def sentence_spans(df: DataFrame, text: str = "text") -> DataFrame:
 
 def sentences(df: DataFrame, text: str = "text") -> DataFrame:
     """As sentence_spans, with the unit's own text in `sentence`."""
-    row = "__unit_of"
-    numbered = df.withColumn(row, F.monotonically_increasing_id())
     cut = (
-        numbered.where(F.length(F.col(text)) > 0)
+        df.where(F.length(F.col(text)) > 0)
         .withColumn("__all", pieces(F.col(text)))
         .withColumn("__ends", F.expr("transform(__all, x -> length(x))"))
     )
@@ -170,7 +168,7 @@ def sentences(df: DataFrame, text: str = "text") -> DataFrame:
         "__starts",
         F.expr("aggregate(__ends, array(0), (a, n) -> concat(a, array(element_at(a, -1) + n)))"),
     )
-    keep = [F.col(c) for c in df.columns if c != text]
+    keep = [F.col(c) for c in df.columns if c not in (text, "start_char", "end_char", "sentence")]
     return (
         spans.select(*keep, F.col(text).alias("__text"), F.posexplode(F.arrays_zip("__starts", "__ends")).alias("__no", "__s"))
         .where(F.col("__s.__ends") > 0)
