@@ -91,7 +91,7 @@ def himalayas(payloads: DataFrame) -> DataFrame:
     rows = _items(payloads, "title string, excerpt string, companyName string, employmentType string, minSalary double, maxSalary double, salaryPeriod string, currency string, seniority array<string>, locationRestrictions array<string>, categories array<string>, parentCategories array<string>, description string, pubDate bigint, applicationLink string, guid string")
     rows = rows.where("guid <> '' and title <> ''")
     none = F.array().cast("array<string>")
-    places = F.filter(F.transform(F.coalesce("locationRestrictions", none), F.trim), lambda x: x != "")
+    places = F.filter(F.transform(F.coalesce("locationRestrictions", none), lambda x: F.trim(x)), lambda x: x != "")
     span = F.create_map(*[F.lit(x) for kv in _SPANS.items() for x in kv])[F.coalesce("salaryPeriod", F.lit("annual"))]
     slugs = F.transform(F.coalesce("categories", none), lambda x: F.replace(x, F.lit("-"), F.lit(" ")))
     return filled(

@@ -26,7 +26,7 @@ def weworkremotely(payloads: DataFrame) -> DataFrame:
     rows = rows.groupBy("url").agg(F.max_by(F.struct(*rows.columns), F.struct("fetchedAt", F.xxhash64("full"))).alias("r")).select("r.*")
     company, role = F.regexp_extract("full", r"^(.+?)\s*:\s+(.+)$", 1), F.regexp_extract("full", r"^(.+?)\s*:\s+(.+)$", 2)
     nation = collapse_ws(F.regexp_replace(F.coalesce("country", F.lit("")), r"[^\p{L}\p{N}\s,.'()&-]", ""))
-    skills = F.transform(F.split(F.concat_ws(",", F.coalesce("category", F.lit("")), F.coalesce("skills", F.lit(""))), ","), F.trim)
+    skills = F.transform(F.split(F.concat_ws(",", F.coalesce("category", F.lit("")), F.coalesce("skills", F.lit(""))), ","), lambda x: F.trim(x))
     return filled(
         rows, source=F.lit("weworkremotely"), sourceJobId=F.regexp_replace("url", r"^https?://[^/]+/remote-jobs/", ""), title=F.coalesce(F.nullif(role, F.lit("")), c("full")), company=F.nullif(company, F.lit("")),
         location=F.nullif(F.array_join(F.filter(F.array(collapse_ws(F.coalesce("state", F.lit(""))), nation), lambda x: x != ""), ", "), F.lit("")), descriptionHtml=text_or_null(c("description")),
