@@ -106,8 +106,9 @@ def _common(text: str) -> bool:
 
 
 def undo(word: str) -> tuple[str, str] | None:
-    """(original, chain) from a word's garbled runs, or None where no chain explains them."""
-    for name in UTF8_READ_AS:
+    """(original, chain) from a word's garbled runs, or None where no chain explains them; of several chains the one that explains most."""
+    best: tuple[int, int, str, str] | None = None
+    for rank, name in enumerate(UTF8_READ_AS):
 
         def back(m: re.Match, name: str = name) -> str:
             raw = as_bytes(m.group(), name)
@@ -117,13 +118,14 @@ def undo(word: str) -> tuple[str, str] | None:
                 return m.group()
             return found if found != LOST and (_common(found) or any("\x80" <= c <= "\x9f" for c in found)) else m.group()
 
-        for shown in dict.fromkeys((word, word.replace("ã", "Ã") if re.search("ã[©¨±³¼¤¶º¡­´ª]", word) else word)):
+        for shown in dict.fromkeys((word, word.replace("ã", "Ã") if re.search("ã[©¨±³¼¤¶º¡\xad´ª]", word) else word)):
             now, rounds = shown, 0
             while rounds < 3 and (then := _runs(name).sub(back, now)) != now:
                 now, rounds = then, rounds + 1
             if rounds and not re.search("[\x80-\x9f]", now):
-                return now, f"utf8>{name}" + ">utf8>cp1252" * (rounds - 1)
-    return None
+                found = (len(now), rank, now, f"utf8>{name}" + ">utf8>cp1252" * (rounds - 1))
+                best = min(best, found) if best else found
+    return best[2:] if best else None
 
 
 @F.pandas_udf(T.ArrayType(T.StructType().add("form", T.StringType()).add("chain", T.StringType())))

@@ -178,7 +178,7 @@ def channel_cost(spelling: str, form: str, rare: set[str]) -> float:
         # initials of successive words
         for j in range(len(meant) - len(w) + 1) if len(w) > 1 else ():
             run = meant[j : j + len(w)]
-            if w == "".join(x[0] for x in run) and not rare & set(run):
+            if w == "".join(x[0] for x in run) and not rare <= set(run):
                 best = min(best, ACRONYM + _align([*said[:i], *run, *said[i + 1 :]], meant, rare))
     if best > 1:
         d = distance(glued, whole, 2)
