@@ -75,10 +75,13 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def shingles(c: Column, size: int = 3, most: int = 600) -> Column:
     """Distinct runs of words; of the first `most` words, which is part of the measure's definition."""
-    w = F.slice(ascii_words(norm_match(c)), 1, most)
-    # side by side, not by index: no lambda may refer to what a Python function made
-    beside = F.arrays_zip(*[F.slice(w, i + 1, F.greatest(F.size(w) - size + 1, F.lit(0))).alias(f"w{i}") for i in range(size)])
-    return F.array_distinct(F.transform(beside, lambda x: F.concat_ws(" ", *[x[f"w{i}"] for i in range(size)])))
+
+    def runs(w: Column) -> Column:
+        beside = F.arrays_zip(*[F.slice(w, F.lit(i + 1), F.greatest(F.size(w) - size + 1, F.lit(0))).alias(f"w{i}") for i in range(size)])
+        return F.array_distinct(F.transform(beside, lambda x: F.concat_ws(" ", *[x[f"w{i}"] for i in range(size)])))
+
+    # bound by a lambda, the words are made once, not once for each place that they shift to
+    return F.transform(F.array(F.slice(ascii_words(norm_match(c)), 1, most)), lambda w: runs(w))[0]
 
 
 def keyword_tokens(keyword: str) -> list[str]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions import listing, rules, text, urls
 from weftline.operators import linkage, sinks, state
 from weftline.plans.graph import components
-from weftline.plans.stages import materialize, table
+from weftline.plans.stages import materialize, spread, table
 from weftline.plans.text_queries import NOW, _COMPANY, _TITLE, sql_chain, sql_collapse, sql_match
 from weftline.sources import json_boards
 from weftline.streaming import counts_by_window, sessions
@@ -40,7 +40,8 @@ r AS (SELECT *, CASE WHEN t = '' THEN 'no_title' WHEN ck = '' THEN 'no_company'
 o AS (SELECT *, row_number() OVER (PARTITION BY source, sk ORDER BY sn, n DESC, raw_id) d FROM r WHERE code IS NULL)
 SELECT raw_id, source, t AS title, ck AS company_k, n::BIGINT AS chars, row_number() OVER (ORDER BY f DESC, raw_id)::BIGINT AS position FROM o WHERE d = 1""")
 def listing_pipeline(spark, sf):
-    rows = table(spark, sf, "raw_jobs").select(
+    listed = table(spark, sf, "raw_jobs").select("raw_id", "source", "title", "company", "descriptionText", "descriptionIsSnippet", "fetchedAt", "sourceJobId", "jobUrl")
+    rows = listed.select(
         "raw_id", "source", text.collapse_ws(F.coalesce("title", F.lit(""))).alias("title"), listing.company_key(c("company")).alias("company_k"), F.coalesce(F.length("descriptionText"), F.lit(0)).cast("bigint").alias("chars"),
         F.coalesce("descriptionIsSnippet", F.lit(True)).alias("snippet"), "fetchedAt", F.coalesce("sourceJobId", "jobUrl").alias("source_key"),
     )
@@ -253,8 +254,8 @@ def merge_survivors(spark, sf):
 
 @query()
 def similar_titles(spark, sf):
-    d = F.try_parse_json("data")
-    jobs = table(spark, sf, "jobs").select(
+    d = c("v")
+    jobs = spread(table(spark, sf, "jobs").select("id", "company", "title", "data")).withColumn("v", F.try_parse_json("data")).select(
         c("id").alias("node"), listing.company_key(c("company")).alias("company"), listing.title_key(c("title")).alias("title_key"), F.try_variant_get(d, "$.description_text", "string").alias("text"),
         F.coalesce(F.try_variant_get(d, "$.description_is_snippet", "boolean"), F.lit(True)).alias("snippet"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions import listing, rules, text, urls
-from weftline.plans.stages import table
+from weftline.plans.stages import spread, table
 
 NOW = "2026-09-28T15:00:00Z"
 c = F.col
@@ -81,7 +81,7 @@ def title_jaccard(spark, sf):
 s AS (SELECT raw_id, list_distinct([w[i] || ' ' || w[i+1] || ' ' || w[i+2] FOR i IN generate_series(1, len(w) - 2)]) s FROM w WHERE len(w) >= 3)
 SELECT w.raw_id, coalesce(len(s.s), 0)::BIGINT AS runs FROM w LEFT JOIN s USING (raw_id)""")
 def shingle_counts(spark, sf):
-    rows = table(spark, sf, "raw_jobs").where("descriptionText is not null")
+    rows = spread(table(spark, sf, "raw_jobs").select("raw_id", "descriptionText").where("descriptionText is not null"))
     return rows.select("raw_id", F.size(text.shingles(c("descriptionText"))).cast("bigint").alias("runs"))
 
 
@@ -97,7 +97,7 @@ SELECT raw_id, CASE WHEN regexp_matches(t, '(^|[^a-z0-9_])coding\\s+specialist($
  WHEN regexp_matches(d, '(^|[^a-z0-9_])coding\\s+specialist($|[^a-z0-9_])') AND (regexp_matches(t, '(^|[^a-z0-9_])coding($|[^a-z0-9_])') OR regexp_matches(t, '(^|[^a-z0-9_])specialist($|[^a-z0-9_])')) THEN 0.55
  ELSE 0.0 END::DOUBLE AS score FROM t""".replace("\\\\s", "\\s"))
 def generic_match(spark, sf):
-    return table(spark, sf, "raw_jobs").select("raw_id", text.generic_match("coding specialist", c("title"), c("descriptionText")).alias("score"))
+    return spread(table(spark, sf, "raw_jobs").select("raw_id", "title", "descriptionText")).select("raw_id", text.generic_match("coding specialist", c("title"), c("descriptionText")).alias("score"))
 
 
 @query("""SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])[\\s\\x{A0}\\x{2000}-\\x{200B}\\x{202F}\\x{3000}\\x{FEFF}]+', '\\1' || chr(10), 'g'), '\\n+'), lambda s: trim(s) <> ''))::BIGINT AS pieces
