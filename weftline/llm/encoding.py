@@ -36,7 +36,7 @@ ONE_BYTE = (
     ("cp437", "cp1252"),
 )
 WORD = r"[A-Za-z0-9]*+[^\x00-\x7F](?:[A-Za-z0-9]|[^\x00-\x7F])*+"
-LOST = "�"
+LOST = "\ufffd"
 #: A one-byte form must be rarer than its word by this factor.
 RARER = 2
 

@@ -97,7 +97,7 @@ def estimate(values: DataFrame, item: list[str]) -> tuple[dict[str, float], dict
     names = [r[0] for r in values.select(F.explode("sources").alias("s")).distinct().limit(MAX_SOURCES + 1).collect()]
     if len(names) > MAX_SOURCES:
         raise ValueError("more sources than MAX_SOURCES")
-    together = values.groupBy(*item).agg(F.array_distinct(F.flatten(F.collect_set("sources"))).alias("who"))
+    together = values.select(*item, F.explode("sources").alias("s")).groupBy(*item).agg(F.collect_set("s").alias("who"))
     both = {(r.a, r.b): r.n for r in together.select(F.explode(_pairs("who")).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n")).collect()}
     accuracy, dependence = dict.fromkeys(names, ACCURACY), {}
     for _ in range(ROUNDS):

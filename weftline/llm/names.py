@@ -20,7 +20,7 @@ from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -252,10 +252,16 @@ def attribute(rows: DataFrame, name: str, register: DataFrame, form_id: str, for
     )
     # spellings written often that only a typo ties to a form stand for themselves
     own = (F.col("cost") >= TYPO) & (F.col("n") >= OWN_FORM) & (F.col("n") * 3 > F.coalesce("as_is", F.lit(0)))
+    # the first two of each spelling decide; the third and later ones never leave their task
+    order = Window.partitionBy("spelling").orderBy(F.desc("post"), "form_id")
     best = (
-        scored.groupBy("spelling")
-        .agg(F.max_by(F.struct("n", "form_id", "form", "cost", "post", "as_is"), F.struct("post", -F.col("form_id"))).alias("m"), F.array_sort(F.collect_list("post")).alias("posts"))
-        .withColumn("second", F.try_element_at("posts", F.lit(-2)))
+        scored.withColumn("__no", F.row_number().over(order))
+        .where(F.col("__no") <= 2)
+        .groupBy("spelling")
+        .agg(
+            F.min_by(F.struct("n", "form_id", "form", "cost", "post", "as_is"), "__no").alias("m"),
+            F.max(F.when(F.col("__no") == 2, F.col("post"))).alias("second"),
+        )
         .select("spelling", "m.n", "m.form_id", "m.form", "m.cost", "m.post", "m.as_is", "second")
         .where(F.col("second").isNull() | (F.col("post") - F.col("second") >= MARGIN))
         .where(~own)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MASK, CUT, OTHER = "", "", ""
+MASK, CUT, OTHER = "\ue000", "\ue001", "\ue002"
 # Blanks, as the signs themselves and as members of a character class.
 _BLANK_SIGNS = " \t\n\v\f\r\u00a0" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000\ufeff"
 BLANKS = r"\s\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{FEFF}"
