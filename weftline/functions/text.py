@@ -47,7 +47,7 @@ def sha1_id(c: Column, length: int = 16) -> Column:
 
 @F.pandas_udf(T.StringType())
 def _without_accents(s: pd.Series) -> pd.Series:
-    strip = lambda x: x if x is None or x.isascii() else "".join(c for c in unicodedata.normalize("NFKD", x) if not "̀" <= c <= "ͯ")
+    strip = lambda x: x if x is None or x.isascii() else "".join(c for c in unicodedata.normalize("NFKD", x) if not "\u0300" <= c <= "\u036f")
     return s.map(strip)
 
 
@@ -85,7 +85,7 @@ def shingles(c: Column, size: int = 3, most: int = 600) -> Column:
 
 
 def keyword_tokens(keyword: str) -> list[str]:
-    s = "".join(c for c in unicodedata.normalize("NFKD", keyword) if not "̀" <= c <= "ͯ").lower()
+    s = "".join(c for c in unicodedata.normalize("NFKD", keyword) if not "\u0300" <= c <= "\u036f").lower()
     return [w for w in re.split(r"[^a-z0-9]+", s) if len(w) > 1 and w not in STOP_WORDS]
 
 
