@@ -34,5 +34,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = text_queries.QUER
     "p5_found": p5_found,
     "p5_ledger": p5_ledger,
 }
-ORACLES: dict[str, str] = text_queries.ORACLES | table_queries.ORACLES
+_TIDY = "nullif(trim(regexp_replace({0}, '[\\s\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{3000}}]+', ' ', 'g')), '')"
+ORACLES: dict[str, str] = text_queries.ORACLES | table_queries.ORACLES | {
+    "p5_found": f"""WITH r AS (SELECT id, row_number() OVER (ORDER BY started_at, id) no FROM scrape_runs),
+c AS (SELECT s.job_id, r.no, s.run_id, s.loaded_at, ({', '.join(_TIDY.format(x) for x in history.WATCHED)}, coalesce(epoch_us(try_cast(trim(reposted_at) AS TIMESTAMPTZ))::VARCHAR, {_TIDY.format("reposted_at")})) st
+ FROM job_snapshots s JOIN r ON s.run_id = r.id WHERE s.job_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY job_id, no ORDER BY loaded_at DESC, st DESC) k FROM c),
+l AS (SELECT *, lag(st) OVER w AS before, row_number() OVER w AS nth FROM o WHERE k = 1 WINDOW w AS (PARTITION BY job_id ORDER BY no)),
+v AS (SELECT * FROM l WHERE nth = 1 OR before IS DISTINCT FROM st)
+SELECT job_id, run_id AS from_run, coalesce(lead(run_id) OVER (PARTITION BY job_id ORDER BY no), '') AS to_run FROM v""",
+}
 FLAGSHIP = "listing_pipeline"
