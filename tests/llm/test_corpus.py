@@ -26,6 +26,22 @@ def test_hostile_tables(spark, hostile_tables, name):
     queries.QUERIES[name](spark, hostile_tables).collect()
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_same_as_sql(spark, sf, name):
+    import os
+
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for f in os.listdir(sf):
+        con.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{sf}/{f}'")
+    df = queries.QUERIES[name](spark, sf)
+    got = con.execute(queries.ORACLES[name])
+    at = [[d[0] for d in got.description].index(c) for c in df.columns]
+    assert sorted(map(tuple, df.collect())) == sorted(tuple(r[i] for i in at) for r in got.fetchall())
+
+
 # -- tokens -----------------------------------------------------------------------------------------------------
 
 

@@ -101,4 +101,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_found": p10_found,
     "p10_sentences": p10_sentences,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p1_found": """WITH many AS (SELECT canonical_url FROM jobs WHERE trim(canonical_url) <> '' GROUP BY 1 HAVING count(*) > 1),
+j AS (SELECT canonical_url, id, ats_provider, nullif(trim(apply_url), '') u, try_cast(posted_at AS TIMESTAMPTZ) t, CASE WHEN json_valid(data) THEN data END d FROM jobs SEMI JOIN many USING (canonical_url)),
+f AS (SELECT *, nullif(json_extract_string(d, '$.description_text'), '') x, coalesce((json_extract(d, '$.description_is_snippet'))::BOOLEAN, true) sn,
+ CASE json_extract_string(d, '$.date_confidence') WHEN 'exact' THEN 0 WHEN 'estimated' THEN 1 WHEN 'unknown' THEN 2 ELSE 3 END cf, lower(regexp_extract(u, '^[A-Za-z]+://(?:[^/@]*@)?([^/:?#]+)', 1)) h FROM j),
+o AS (SELECT *, row_number() OVER (PARTITION BY canonical_url ORDER BY x IS NULL, sn, length(x) DESC, id) a, row_number() OVER (PARTITION BY canonical_url ORDER BY t IS NULL, cf, t, id) b,
+ row_number() OVER (PARTITION BY canonical_url ORDER BY u IS NULL OR h IN (SELECT host FROM feeds), ats_provider IS NULL, id) c FROM f)
+SELECT canonical_url, max(CASE WHEN a = 1 THEN CASE WHEN x IS NULL THEN '' ELSE id END END) AS data_id, max(CASE WHEN b = 1 THEN CASE WHEN t IS NULL THEN '' ELSE id END END) AS posted_id,
+ max(CASE WHEN c = 1 THEN CASE WHEN u IS NULL OR h IN (SELECT host FROM feeds) THEN '' ELSE id END END) AS apply_id FROM o GROUP BY 1""",
+}
