@@ -115,3 +115,13 @@ def test_listing_keys(spark):
     assert one(spark, "FULL_TIME", listing.employment_type) == "Full-time"
     assert one(spark, "seasonal work", listing.employment_type) == "Seasonal Work"
     assert one(spark, "x", lambda c: listing.day_bucket(F.lit(48), (1, 5, 10, 30))) == 5
+
+
+def test_search_parameters():
+    from weftline.plans.params import SearchParams
+
+    p = SearchParams.parse({"titles": ["Medical  Coder", "medical coder", "Biller"], "hours_old": 48})
+    assert p.titles == ("Medical Coder", "Biller") and p.hours_old == 48 and p.max_pages == 3
+    for body in ({}, {"titles": []}, {"titles": ["x"]}, {"titles": ["a<b>"]}, {"titles": ["ok"], "hours_old": 0}, {"titles": ["ok"], "what": 1}, {"titles": ["ok"], "remote_only": "yes"}, {"titles": ["ok"] * 51}):
+        with pytest.raises(ValueError):
+            SearchParams.parse(body)

@@ -341,3 +341,48 @@ def order_totals(spark, sf):
 def capture_counts(spark, sf):
     order = table(spark, sf, "scrape_runs").select("id", F.row_number().over(Window.orderBy("started_at", "id")).alias("run_no"))
     return table(spark, sf, "job_snapshots").join(order, c("run_id") == c("id")).groupBy("job_id").agg(F.min("run_no").alias("first_no"), F.count(F.lit(1)).alias("captures"))
+
+
+# -- runs, registries, caps
+
+
+@query("""WITH f AS (SELECT source, unnest(foundBy) w, coalesce(sourceJobId, jobUrl) k, raw_id FROM raw_jobs), t AS (SELECT source, w, k, min(raw_id) o FROM f GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source, w ORDER BY o, k) n FROM t WHERE w IS NOT NULL)
+SELECT source, w AS keyword, k AS source_key FROM r WHERE n <= 100""")
+def capped_per_keyword(spark, sf):
+    rows = table(spark, sf, "raw_jobs").select("source", F.explode("foundBy").alias("keyword"), F.coalesce("sourceJobId", "jobUrl").alias("source_key"), "raw_id").where("keyword is not null")
+    firsts = rows.groupBy("source", "keyword", "source_key").agg(F.min("raw_id").alias("o")).withColumn("k", F.struct("source", "keyword"))
+    return state.top_per_key(firsts, "k", [F.asc("o"), F.asc("source_key")], 100).select("source", "keyword", "source_key")
+
+
+@query("SELECT f.source, f.zone_name, m.last_at, coalesce(m.n, 0)::BIGINT AS listings FROM feeds f LEFT JOIN (SELECT source, max(fetchedAt) last_at, count(*) n FROM raw_jobs GROUP BY 1) m USING (source)")
+def registry_status(spark, sf):
+    last = table(spark, sf, "raw_jobs").groupBy("source").agg(F.max("fetchedAt").alias("last_at"), F.count(F.lit(1)).alias("n"))
+    return table(spark, sf, "feeds").join(last, "source", "left").select("source", "zone_name", "last_at", F.coalesce("n", F.lit(0)).alias("listings"))
+
+
+@query("""WITH s AS (SELECT last_run_id id, remote_type t, count(*) n FROM jobs GROUP BY ALL)
+SELECT r.id, r.status, coalesce((SELECT string_agg(coalesce(t, '-') || ':' || n, ' ' ORDER BY coalesce(t, '-')) FROM s WHERE s.id = r.id), '') AS nested FROM scrape_runs r""")
+def run_with_rows(spark, sf):
+    counts = table(spark, sf, "jobs").groupBy(c("last_run_id").alias("id"), F.coalesce("remote_type", F.lit("-")).alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    nested = counts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("t", "n"))).alias("rows"))
+    shown = F.array_join(F.transform("rows", lambda r: F.concat(r["t"], F.lit(":"), r["n"])), " ")
+    return table(spark, sf, "scrape_runs").join(nested, "id", "left").select("id", "status", F.coalesce(shown, F.lit("")).alias("nested"))
+
+
+@query("""WITH u AS (SELECT run_id, job_id, snap_id, loaded_at FROM job_snapshots), r AS (SELECT *, row_number() OVER (PARTITION BY run_id, job_id ORDER BY loaded_at DESC, snap_id DESC) n FROM u)
+SELECT run_id, job_id, snap_id FROM r WHERE n = 1""")
+def replace_by_key(spark, sf):
+    rows = table(spark, sf, "job_snapshots").select("run_id", "job_id", "snap_id", "loaded_at")
+    return rows.groupBy("run_id", "job_id").agg(F.max_by("snap_id", F.struct("loaded_at", "snap_id")).alias("snap_id"))
+
+
+@query("""SELECT source, source_key FROM job_sources WHERE last_seen_at >= '2026-06-01'""")
+def live_entries(spark, sf):
+    rows = table(spark, sf, "job_sources")
+    return rows.join(rows.where(c("last_seen_at") < "2026-06-01").select("source", "source_key"), ["source", "source_key"], "left_anti").select("source", "source_key")
+
+
+@query("SELECT lower(string_split(p, '=')[1]) LIKE 'utm\\_%' ESCAPE '\\' OR lower(string_split(p, '=')[1]) IN ('{0}') AS tracks, count(*) AS n FROM (SELECT unnest(string_split(regexp_extract(applyUrl, '\\?([^#]*)', 1), '&')) p FROM raw_jobs WHERE applyUrl IS NOT NULL) WHERE p <> '' GROUP BY 1".replace("{0}", "', '".join(urls.TRACKING)))
+def tracking_params(spark, sf):
+    pairs = table(spark, sf, "raw_jobs").where("applyUrl is not null").select(F.explode(F.split(F.try_parse_url("applyUrl", F.lit("QUERY")), "&")).alias("p")).where("p <> ''")
+    return pairs.groupBy(urls.is_tracking(F.split_part("p", F.lit("="), F.lit(1))).alias("tracks")).agg(F.count(F.lit(1)).alias("n"))
