@@ -244,8 +244,10 @@ def attribute(rows: DataFrame, name: str, register: DataFrame, form_id: str, for
         for spelling, meant, told in batches:
             yield pd.Series([channel_cost(s, f, set(r)) for s, f, r in zip(spelling, meant, told)], dtype="float64")
 
+    # an explicit number of parts, as the pairs are few bytes but much work
+    cores = max(2, rows.sparkSession.sparkContext.defaultParallelism)
     scored = (
-        pairs.repartition("spelling")
+        pairs.repartition(2 * cores, "spelling")
         .withColumn("cost", cost("spelling", "form", "rare"))
         .where(F.col("cost") <= MOST)
         .withColumn("post", F.ln(F.coalesce("as_is", F.lit(0)) + 1) * 0.25 - F.col("cost"))
