@@ -217,6 +217,15 @@ def test_a_hot_group_of_near_copies(spark, monkeypatch):
     assert len({r.group for r in got if r.id < 400}) == 1 and len({r.group for r in got}) == 201
 
 
+def test_pairs_at_the_threshold_are_all_linked(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 150)
+    # two texts share 20 of 40 words, just one half
+    texts = [" ".join(f"w{i}x{k}" for k in range(a, a + 30)) for i in range(200) for a in (0, 10)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    got = {(r.a, r.b) for r in neardup.linked_pairs(df, "id", "text", 1, 0.5).collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(200)}
+
+
 # -- names ------------------------------------------------------------------------------------------------------
 
 REGISTER = ["Marrowgate Health Partners", "Elizabeth Stovdell & Associates", "Jurbinley Memorial Hospital", "Stolkgarth Children's Hospital", "Relstead Home Care", "Relstead Revenue Management", "Saint Waelkley Medical Group"]
