@@ -143,6 +143,13 @@ def test_affected_and_restored(spark):
     assert back["utf"].restored == clean and back["utf"].complete and back["mac"].restored == clean
 
 
+def test_one_byte_forms_are_found_however_often_they_are_repeated(spark):
+    bad = lambda w: w.encode("cp1252").decode("mac_roman")
+    rows = [(f"hot{i}", bad("la señalización")) for i in range(30)] + [("clean", "la señalización"), ("alone", bad("según lo dicho")), ("ok", "30 m² à l’œuvre, “Ask” 20°C Acme™")]
+    df = spark.createDataFrame(rows, "rec_key string, text string")
+    assert {r.rec_key for r in encoding.affected(df, ["rec_key"]).collect()} == {f"hot{i}" for i in range(30)} | {"alone"}
+
+
 # -- fusion -----------------------------------------------------------------------------------------------------
 
 

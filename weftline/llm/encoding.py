@@ -3,9 +3,10 @@
 Every distinct clean word of the corpus that holds a character beyond ASCII is put through all
 encoding chains; the garbled forms make a table form -> word that the documents' words are
 hash-joined with. A form counts only if the corpus backs it: a multi-byte form always (its shape
-is not a word's), a one-byte form only where the word is at least twice as common as the form.
+is not a word's), a one-byte form where its shape is less a word's than the clean word's is, however
+often either is repeated; of two equally good shapes the one in at least twice as many distinct texts is clean.
 Words of which the corpus has no clean copy are tried by undoing the same chains on their garbled
-runs. U+FFFD and C1 controls name a value as garbled whether or not it can be restored.
+runs, and the one-byte chains where the word's shape shows it garbled. U+FFFD and C1 controls name a value as garbled whether or not it can be restored.
 
 Null and empty texts are never affected; repeated rows give repeated keys one result.
 """
@@ -37,7 +38,7 @@ ONE_BYTE = (
 )
 WORD = r"[A-Za-z0-9]*+[^\x00-\x7F](?:[A-Za-z0-9]|[^\x00-\x7F])*+"
 LOST = "\ufffd"
-#: A one-byte form must be rarer than its word by this factor.
+#: A one-byte form whose shape is as good as its word's must stand in fewer distinct texts by this factor.
 RARER = 2
 
 
@@ -128,15 +129,41 @@ def undo(word: str) -> tuple[str, str] | None:
     return best[2:] if best else None
 
 
-@F.pandas_udf(T.ArrayType(T.StructType().add("form", T.StringType()).add("chain", T.StringType())))
+# a sign within a word that no spelling has there, a capital letter beyond ASCII between small ones, or two scripts
+_ODD = re.compile(r"(?<=[a-z])(?:[\x80-\x9f¡-©«-¬®-¶¸¹»-¿×÷‚„†‡‰‹›∂-⋿⌀-◿ﬁﬂ˙-˝¨´¸ƒ€](?=[a-z]|[^\x00-\x7f])|[À-ÖØ-ÞŽŠŸŒ](?=[a-z]|[^\x00-\x7f]|$))|[A-Za-z][Ͱ-ӿ]|[Ͱ-ӿ][A-Za-z]")
+
+
+def odd(word: str) -> int:
+    """Places of a word that its shape shows garbled."""
+    return len(_ODD.findall(word))
+
+
+def undo_one_byte(word: str) -> tuple[str | None, str] | None:
+    """(original, chain) of a word whose shape shows a one-byte misreading; the original is null where chains disagree."""
+    # signs at the end, as of trade marks, prove nothing
+    if not odd(re.sub(r"[^\w]+$", "", word)):
+        return None
+    found = {}
+    for a, b in ONE_BYTE:
+        raw = as_bytes(word, b)
+        back = misread(raw, a) if raw else None
+        # only small Latin letters with marks are taken on shape alone
+        if back and all(c < "\x80" or "ß" <= c <= "ÿ" and c != "÷" for c in back):
+            found.setdefault(back, f"{a}>{b}")
+    if not found:
+        return None
+    return (next(iter(found)) if len(found) == 1 else None), next(iter(found.values()))
+
+
+@F.pandas_udf(T.ArrayType(T.StructType().add("form", T.StringType()).add("chain", T.StringType()).add("worse", T.IntegerType())))
 def _forms(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in words:
-        yield pd.Series([[{"form": f, "chain": c} for f, c in garbled_forms(w)] for w in batch], dtype=object)
+        yield pd.Series([[{"form": f, "chain": c, "worse": odd(f) - odd(w)} for f, c in garbled_forms(w)] for w in batch], dtype=object)
 
 
 @F.pandas_udf(T.StructType().add("original", T.StringType()).add("chain", T.StringType()))
 def _undone(words: pd.Series) -> pd.DataFrame:
-    found = [undo(w) or (None, None) for w in words]
+    found = [undo(w) or undo_one_byte(w) or (None, None) for w in words]
     return pd.DataFrame({"original": [a for a, _ in found], "chain": [b for _, b in found]}, dtype=object)
 
 
@@ -148,7 +175,7 @@ def words_of(text: Column) -> Column:
 def garbled_words(values: DataFrame, text: str = "text") -> DataFrame:
     """The corpus' garbled words: word, original (null where it is lost), chain."""
     seen = materialize(
-        values.select(F.explode(words_of(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")),
+        values.select(F.xxhash64(text).alias("h"), F.explode(words_of(F.col(text))).alias("word")).groupBy("word").agg(F.count_distinct("h").alias("n")),
         "encoding-words",
     )
     marked = F.col("word").rlike("[\x80-\x9f�]")
@@ -157,14 +184,14 @@ def garbled_words(values: DataFrame, text: str = "text") -> DataFrame:
         seen.where(~marked)
         .repartition(cores, "word")
         .select(F.col("word").alias("clean"), F.col("n").alias("n_clean"), F.explode(_forms("word")).alias("f"))
-        .select("clean", "n_clean", F.col("f.form").alias("word"), F.col("f.chain").alias("chain"))
+        .select("clean", "n_clean", F.col("f.form").alias("word"), F.col("f.chain").alias("chain"), F.col("f.worse").alias("worse"))
     )
     multi = F.col("chain").contains("utf8")
     # a sign alone that is usual by itself says nothing of a charset
     usual = F.col("word").rlike(r"^[0-9¡-©«-¹»-¿×÷‐-™]+$")
     hit = (
         table.join(seen, "word")
-        .where(multi | (F.col("chain") == "lost") | ((F.col("n_clean") >= RARER * F.col("n")) & ~usual))
+        .where(multi | (F.col("chain") == "lost") | (((F.col("worse") > 0) | (F.col("worse") == 0) & (F.col("n_clean") >= RARER * F.col("n"))) & ~usual))
         .groupBy("word")
         .agg(
             F.min_by(F.struct("clean", "chain"), F.struct((~multi).cast("int"), F.length("clean"), -F.col("n_clean"), "clean")).alias("best"),
@@ -180,7 +207,7 @@ def garbled_words(values: DataFrame, text: str = "text") -> DataFrame:
     rest = (
         seen.join(hit, "word", "left_anti")
         .select("word", _undone("word").alias("u"), marked.alias("marked"))
-        .where(F.col("u.original").isNotNull() | F.col("marked"))
+        .where(F.col("u.chain").isNotNull() | F.col("marked"))
         .select("word", F.col("u.original").alias("original"), F.coalesce("u.chain", F.lit("lost")).alias("chain"))
     )
     return materialize(hit.unionByName(rest), "encoding-garbled")
