@@ -105,6 +105,25 @@ def test_sentences(spark):
         assert got.get(i, []) == expected, text
 
 
+@pytest.mark.parametrize("size", [10, 301, 3_000, 100_000])
+def test_no_length_bounds_what_is_masked(spark, size):
+    words = ("word. Next " * (size // 11 + 1))[:size]
+    texts = [
+        f"He said “{words}.” and left. Then more.", f"Er sagte „{words}.“ und ging. Dann mehr.", f'He said "{words}." and left. Then more.',
+        f"See https://x.example/{'a.B' * (size // 3 + 1)} now. Then more.", f"Ask {'a.B' * (size // 3 + 1)}@x.example now. Then more.", f"First.\n{' ' * size}\n{' ' * size}Then more.", f"First\n{' ' * size}7. Then more",
+        f"Wait{'.' * size}Then more.",
+    ]
+    got = {}
+    for r in sentences.sentences(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect():
+        got.setdefault(r.doc_id, []).append(r.sentence)
+    assert {i: (len(u), u[-1].lstrip("7. ")) for i, u in got.items()} == {i: (2, "Dann mehr." if i == 1 else "Then more" if i == 6 else "Then more.") for i in range(len(texts))}
+
+
+def test_an_unclosed_quotation_ends_at_a_blank_line(spark):
+    df = spark.createDataFrame([(1, "“One. Two.\n\nThree. Four.” Five.")], "doc_id int, text string")
+    assert [r.sentence for r in sentences.sentences(df).orderBy("start_char").collect()] == ["“One.", "Two.", "Three.", "Four.”", "Five."]
+
+
 def test_spans_cut_the_same_units(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     a = {(r.doc_id, r.start_char, r.end_char) for r in sentences.sentence_spans(docs).collect()}
