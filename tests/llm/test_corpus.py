@@ -217,10 +217,10 @@ def brute_groups(texts, width, similarity):
     return {frozenset(i for i in range(len(texts)) if label[i] == k) for k in label}
 
 
-@pytest.mark.parametrize("small", [2, 256])
-def test_groups_equal_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(neardup, "SMALL", small)
-    monkeypatch.setattr(neardup, "PIVOTS", 2)
+@pytest.mark.parametrize("pivots", [1, 4, 31])
+def test_groups_equal_brute_force(spark, monkeypatch, pivots):
+    monkeypatch.setattr(neardup, "PIVOTS", pivots)
+    monkeypatch.setattr(neardup, "BLOCK", 40)
     texts = texts_for_groups(7, 60)
     df = spark.createDataFrame(list(enumerate(texts)) + [(9001, None), (9002, ""), (9003, "one two")], "id bigint, text string")
     got = {}
@@ -230,7 +230,7 @@ def test_groups_equal_brute_force(spark, monkeypatch, small):
 
 
 def test_a_hot_group_of_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "SMALL", 16)
+    monkeypatch.setattr(neardup, "BLOCK", 64)
     rng = random.Random(2)
     base = [f"w{i}" for i in range(80)]
     texts = []
