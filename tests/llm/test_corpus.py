@@ -270,6 +270,42 @@ def test_variants_find_their_names(spark):
     assert got == {f"v{i}": k for i, k in enumerate(VARIANTS.values())}
 
 
+def test_no_pair_that_the_channel_accepts_is_missed(spark):
+    rng = random.Random(4)
+    tails = ["Health", "Clinic", "Health Partners", "Care Group"]
+    register = sorted({f"{''.join(rng.choice('abcdefgil') for _ in range(rng.randint(3, 9))).title()} {rng.choice(tails)}" for _ in range(60)})
+
+    def bent(name):
+        w = list(name)
+        for _ in range(rng.randint(0, 2)):
+            i = rng.randrange(len(w) - 1)
+            w[i : i + 2] = rng.choice([w[i], w[i] + w[i + 1] + rng.choice("aeil"), w[i + 1] + w[i], rng.choice("aeil") + w[i + 1]])
+        return rng.choice(["{}", "{} Inc", "The {}"]).format("".join(w)) if rng.random() < 0.8 else "".join(w).replace(" ", "")
+
+    spellings = sorted({bent(rng.choice(register)) for _ in range(300)} - set(register))
+    df = spark.createDataFrame([(x, 1) for x in spellings], "spelling string, n bigint").withColumn("p", names._prepared("spelling")).select("spelling", "n", "p.*")
+    forms = spark.createDataFrame([(i, x, 1) for i, x in enumerate(register)], "form_id bigint, form string, as_is bigint").withColumn("p", names._prepared("form")).select("form_id", "form", "as_is", "p.glued", "p.parts")
+    got = {(r.spelling, r.form) for r in names.scored(df, forms, forms).collect()}
+    often = {w: sum(w in names.words(x) for x in register) for x in register for w in names.words(x)}
+    rare = {x: {w for w in names.words(x) if often[w] <= names.COMMON_FORMS} or set(names.words(x)) for x in register}
+    every = {(a, b) for a in spellings for b in register if names.channel_cost(a, b, rare[b]) <= names.MOST}
+    assert got == every and len(every) > 200
+
+
+def test_frequent_spellings_beside_the_register_are_forms_and_repeating_rows_changes_nothing(spark):
+    said = ["Quonfield Dental Group"] * 6 + ["Quonfeild Dental Group", "Quonfield Dental Grp", "Quonfyeld Dental Inc"] + ["Marrowgate Health Partners"] * 5 + ["Marrowgate Hlth Partners", "Marowgate Health Partners"] + ["Marrowgade Health Partners"] * 9
+    register = spark.createDataFrame([(1, "Marrowgate Health Partners"), (2, "Relstead Home Care")], "id bigint, name string")
+
+    def links(times):
+        rows = spark.createDataFrame([(x,) for x in said * times], "company string")
+        return {(r.spelling, r.form_id, r.form) for r in names.attribute(rows, "company", register, "id", "name").where("cost > 0").collect()}
+
+    once = links(1)
+    assert once == links(10)
+    assert {(a, f) for a, i, f in once if i is None} == {(a, "Quonfield Dental Group") for a in ("Quonfeild Dental Group", "Quonfield Dental Grp")}
+    assert {a for a, i, _ in once if i == 1} == {"Marrowgate Hlth Partners", "Marowgate Health Partners"}
+
+
 @given(st.text("abcd", max_size=6), st.text("abcd", max_size=6))
 def test_distance_is_symmetric_and_bounded(a, b):
     d = names.distance(a, b, 10)

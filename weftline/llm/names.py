@@ -1,15 +1,20 @@
 """Variant spellings of organisations attributed through a noisy channel.
 
-Every distinct spelling is a noisy copy of some canonical form. Canonical forms are the register's
-names and, beside them, frequent spellings that no register entry explains. A spelling goes to the form
-of the greatest posterior: log prior (how often the form is written as it stands) minus the cost of the
+Every distinct spelling is a noisy copy of some canonical form. Candidate forms are the register's names
+and, beside them, frequent spellings that no register entry explains (their form_id is null). A spelling goes to
+the form of the greatest posterior: log prior (how often the form is written as it stands) minus the cost of the
 edits that lead from the form to the spelling: typos, abbreviations, initials, nicknames, reordering,
 glued or broken words, legal endings, trade names, wrong decoding.
 
-Candidates come from an inverted index: trigrams of the spelling against trigrams of each form's rare
-words, so no spelling meets all forms, and a form's common words (learned from the register) index
-nothing. Null, blank and placeholder spellings name nobody. Counting is by distinct spelling, so that
-a name that fills a third of all rows is one row here.
+A form is told by its rare words (common ones are learned from the forms). A spelling is a candidate for a form if
+one of its words, or two neighbours written as one, tells a rare word of the form (`tells`), or if it is the whole
+form but for two edits. Both are found by hash joins of keys that every such pair has in common: what is left of a
+word without as many letters as edits are allowed, its beginnings and its consonants; of whole names the fifth that
+two edits leave intact. So no pair that the channel accepts is missed, and no spelling meets all forms.
+
+Frequencies count in relation to the median form only, so repeating all rows changes nothing. Null, blank and
+placeholder spellings name nobody. Counting is by distinct spelling, so that a name that fills a third of all rows
+is one row here.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm.encoding import undo
-from weftline.plans.stages import materialize
+from weftline.plans.stages import materialize, sent_if_small
 
 # Endings and additions that are no part of a name.
 LEGAL = "inc incorporated llc l.l.c ltd limited corp corporation pllc plc lp llp gmbh sa holdings holding usa us careers career jobs hiring remote pc".split()
@@ -50,8 +55,11 @@ _NICK_PAIRS = {(n, full) for full, all_ in NICKNAMES.items() for n in all_.split
 TYPO, SHORT, INITIAL, NICK, ACRONYM, MISSING, EXTRA, MOVED = 2.2, 1.0, 1.6, 1.0, 1.5, 7.0, 5.0, 0.6
 #: A spelling goes to nobody beyond this cost, nor where the second form lies within MARGIN.
 MOST, MARGIN = 6.9, 0.7
-#: A spelling this frequent that needs a typo to fit a form is a form of its own.
-OWN_FORM = 4
+#: A spelling that needs a typo to fit a form is a form of its own if it is written more than OWN_SHARE times as often
+#: as the form, or as FLOOR times the median form where the form is written less.
+OWN_SHARE, FLOOR = 1 / 3, 4.0
+#: A spelling that no register entry explains is a form if it is written more often than this times the median form.
+FREQUENT = 1.0
 #: A word in more than this many forms, or this share of them, is common.
 COMMON_FORMS, COMMON_SHARE = 5, 0.01
 
@@ -132,6 +140,33 @@ def word_cost(said: str, meant: str) -> float:
     return min(near, SHORT if _shortened(said, meant) else 99.0)
 
 
+def skeleton(word: str) -> str:
+    """A word's first letter and consonants, double ones as one."""
+    out = word[:1]
+    for x in word[1:]:
+        if x not in "aeiouy" and x != out[-1]:
+            out += x
+    return out
+
+
+@lru_cache(200_000)
+def tells(said: str, meant: str) -> bool:
+    """Whether a word alone is reason to think of another: equal, nickname, few edits, a beginning, or the consonants."""
+    if len(said) < 2:
+        return False
+    if said == meant or (said, meant) in _NICK_PAIRS or SHORT_FORMS.get(said) == meant:
+        return True
+    if len(said) >= 3 and (meant.startswith(said) or len(said) < len(meant) and skeleton(meant) in (said, skeleton(said), said.removesuffix("s"))):
+        return True
+    allowed = _allowed(meant)
+    return allowed > 0 and len(said) >= 3 and distance(said, meant, allowed) <= allowed
+
+
+def beginnings(word: str) -> list[str]:
+    """Keys of a word's short forms; a said word has itself and its skeleton as such keys."""
+    return [*(word[:k] for k in range(3, len(word))), *([skeleton(word)] if len(skeleton(word)) >= 3 else [])]
+
+
 def _align(said: Sequence[str], meant: Sequence[str], rare: set[str]) -> float:
     """Cost of the assignment of the words found greedily from the surest pair on."""
     pairs = sorted((word_cost(s, m), abs(i - j), i, j) for i, s in enumerate(said) for j, m in enumerate(meant))
@@ -165,13 +200,13 @@ def channel_cost(spelling: str, form: str, rare: set[str]) -> float:
     glued, whole = "".join(said), "".join(meant)
     if glued == whole:
         return 0.3
-    # unless some telling word comes near, no alignment is worth trying
-    if not any(word_cost(w, r) < 50 for w in said for r in rare):
+    # unless some word tells of a telling one, no alignment is worth trying
+    if not any(tells(w, r) for w in said for r in rare):
         d = distance(glued, whole, 2)
         if d <= 2:
             return 0.5 + TYPO * d
-        stuck = [*said, *(a + b for a, b in zip(said, said[1:]))]
-        if not any(word_cost(w, r) < 50 for w in stuck for r in rare):
+        stuck = (a + b for a, b in zip(said, said[1:]))
+        if not any(tells(w, r) for w in stuck for r in rare):
             return 99.0
     best = _align(said, meant, rare)
     for i, w in enumerate(said):
@@ -193,85 +228,155 @@ def channel_cost(spelling: str, form: str, rare: set[str]) -> float:
     return best
 
 
-@F.pandas_udf(T.StructType().add("glued", T.StringType()).add("parts", T.ArrayType(T.StringType())))
+_PREPARED = T.StructType().add("glued", T.StringType()).add("parts", T.ArrayType(T.StringType())).add("tries", T.ArrayType(T.StringType()))
+
+
+@F.pandas_udf(_PREPARED)
 def _prepared(names: pd.Series) -> pd.DataFrame:
+    """A name's words, all of them as one, and the words it may tell: its own and neighbours written as one."""
     out = [words(x) for x in names]
-    return pd.DataFrame({"glued": ["".join(w) for w in out], "parts": [list(w) for w in out]})
+    tries = [list(dict.fromkeys([*w, *(a + b for a, b in zip(w, w[1:]))])) for w in out]
+    return pd.DataFrame({"glued": ["".join(w) for w in out], "parts": [list(w) for w in out], "tries": tries})
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _short_keys(meant: pd.Series) -> pd.Series:
+    by_word: dict[str, list[str]] = {}
+    for nick, full in _NICK_PAIRS:
+        by_word.setdefault(full, []).append(nick)
+    for short, full in SHORT_FORMS.items():
+        by_word.setdefault(full, []).append(short)
+    return meant.map(lambda w: [*beginnings(w), *by_word.get(w, [])])
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _said_short(said: pd.Series) -> pd.Series:
+    return said.map(lambda w: list({w, skeleton(w), w.removesuffix("s")}))
+
 
+@F.pandas_udf(T.BooleanType())
+def _tells(said: pd.Series, meant: pd.Series) -> pd.Series:
+    return pd.Series([tells(a, b) for a, b in zip(said, meant)], dtype=bool)
 
-def trigrams(text: str) -> Column:
-    return F.expr(f"CASE WHEN length({text}) < 3 THEN array({text}) ELSE array_distinct(transform(sequence(1, length({text}) - 2), i -> substring({text}, i, 3))) END")
+
+def deletions(word: str, most: Column) -> Column:
+    """A word and what is left of it without one or two letters, as far as `most` goes. Two words within k edits (swaps count one) share what is left without k letters."""
+    cut = lambda w, i: f"concat(substring({w}, 1, {i} - 1), substring({w}, {i} + 1))"
+    one = F.expr(f"transform(sequence(1, length({word})), i -> {cut(word, 'i')})")
+    two = F.expr(f"flatten(transform(sequence(1, greatest(1, length({word}) - 1)), i -> transform(sequence(i, greatest(i, length({word}) - 1)), j -> {cut(cut(word, 'i'), 'j')})))")
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(F.array(word), F.when(most >= 1, one).otherwise(none), F.when(most >= 2, two).otherwise(none)))
+
+
+def _fifths(whole: str) -> Column:
+    """Keys of a form's whole name: its length and each fifth of it. Two edits, of which a swap may touch two fifths, leave one intact."""
+    at = f"transform(array(0, 1, 2, 3, 4), k -> concat_ws(':', length({whole}), k, substring({whole}, int(length({whole}) * k / 5) + 1, int(length({whole}) * (k + 1) / 5) - int(length({whole}) * k / 5))))"
+    return F.expr(at)
+
+
+def _met_fifths(glued: str) -> Column:
+    """Keys of a spelling: for each length of a form within two edits, what stands where a fifth of it may stand intact."""
+    start = f"int(m * k / 5) + CASE k WHEN 0 THEN 0 WHEN 4 THEN length({glued}) - m ELSE e END"
+    of = f"concat_ws(':', m, k, substring({glued}, {start} + 1, int(m * (k + 1) / 5) - int(m * k / 5)))"
+    shifts = "CASE WHEN k IN (0, 4) THEN array(0) ELSE array(-2, -1, 0, 1, 2) END"
+    lengths = f"sequence(length({glued}) - 2, length({glued}) + 2)"
+    return F.array_distinct(F.expr(f"flatten(transform({lengths}, m -> flatten(transform(array(0, 1, 2, 3, 4), k -> transform({shifts}, e -> {of})))))"))
 
 
 def spelling_counts(rows: DataFrame, name: str) -> DataFrame:
     return rows.where(F.trim(name) != "").groupBy(F.col(name).alias("spelling")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def attribute(rows: DataFrame, name: str, register: DataFrame, form_id: str, form: str) -> DataFrame:
-    """spelling, n, form_id, form, cost of every distinct spelling that has a form; exact ones have cost 0."""
-    counts = materialize(spelling_counts(rows, name).withColumn("p", _prepared("spelling")).select("spelling", "n", "p.glued", "p.parts"), "names-spellings")
-    forms = register.where(F.trim(form) != "").select(F.col(form_id).alias("form_id"), F.col(form).alias("form")).dropDuplicates(["form"])
-    forms = materialize(forms.withColumn("p", _prepared("form")).select("form_id", "form", F.col("p.parts").alias("parts")), "names-forms")
-    total = forms.count()
-    common = forms.select(F.explode(F.array_distinct("parts")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("k"))
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Over an explicit number of parts, as the rows are few bytes but much work."""
+    return df.repartition(2 * max(2, df.sparkSession.sparkContext.defaultParallelism), key)
+
+
+def scored(spellings: DataFrame, forms: DataFrame, words_of: DataFrame) -> DataFrame:
+    """spelling, n, form_id, form, as_is, cost of the pairs that the channel accepts.
+
+    spellings: spelling, n, glued, tries. forms: form_id, form, glued, parts, as_is. words_of: forms (column parts) from
+    which common words are learned.
+    """
+    total = words_of.count()
+    common = words_of.select(F.explode(F.array_distinct("parts")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("k"))
     rare = common.where((F.col("k") <= COMMON_FORMS) | (F.col("k") <= F.lit(COMMON_SHARE * total))).select("word")
-    telling = (
-        forms.select("form_id", F.explode(F.array_distinct("parts")).alias("word"))
-        .join(rare, "word")
-        .groupBy("form_id")
-        .agg(F.array_sort(F.collect_list("word")).alias("rare"))
-    )
+    told = forms.select("form", F.explode(F.array_distinct("parts")).alias("word")).join(rare, "word").groupBy("form").agg(F.array_sort(F.collect_list("word")).alias("rare"))
     # a form of common words alone is told by all of them
-    known = forms.join(telling, "form_id", "left").withColumn("rare", F.coalesce("rare", "parts"))
-    told_by = materialize(known.select("form_id", F.explode("rare").alias("word")), "names-telling")
-    index = told_by.select("word").distinct().select("word", F.length("word").alias("len"), F.explode(trigrams("word")).alias("g"))
-    exact = counts.join(forms.select("form_id", "form"), F.col("spelling") == F.col("form")).select("spelling", "n", "form_id", "form", F.lit(0.0).alias("cost"))
-    loose = counts.join(forms.select("form"), F.col("spelling") == F.col("form"), "left_anti").where(~F.col("glued").isin(*PLACEHOLDERS))
-    grams = loose.select("spelling", F.explode(trigrams("glued")).alias("g"))
-    near_words = (
-        grams.join(index, "g")
-        .groupBy("spelling", "word")
-        .agg(F.count(F.lit(1)).alias("common"), F.first("len").alias("len"))
-        # one edit takes at most four trigrams; of long words a share is enough
-        .where(F.col("common") >= F.greatest(F.least(F.lit(2), F.col("len") - 2), F.least(F.col("len") - 6, F.ceil((F.col("len") - 2) * 0.4))))
-    )
-    near = near_words.join(told_by, "word").select("spelling", "form_id").distinct()
-    prior = exact.select("form_id", F.col("n").alias("as_is"))
-    pairs = near.join(known.select("form_id", "form", "rare"), "form_id").join(prior, "form_id", "left").join(counts.select("spelling", "n"), "spelling")
+    known = materialize(forms.join(told, "form", "left").withColumn("rare", F.coalesce("rare", "parts")), "names-known")
+    told_by = known.select("form", F.explode("rare").alias("word"))
+    meant = told_by.select("word").distinct()
+    size = F.length("word")
+    allowed = F.when(size < 4, 0).when(size < 8, 1).otherwise(2)
+    by_edit = meant.select("word", F.explode(F.transform(deletions("word", allowed), lambda k: F.xxhash64(F.lit("e"), k))).alias("key"))
+    by_start = meant.select("word", F.explode(F.transform(_short_keys("word"), lambda k: F.xxhash64(F.lit("s"), k))).alias("key"))
+    index = sent_if_small(materialize(by_edit.unionByName(by_start), "names-index"))
+    said = _spread(spellings.select(F.explode("tries").alias("said")).where(F.length("said") > 1).distinct(), "said")
+    tried = F.when(F.length("said") < 3, 0).when(F.length("said") < 6, 1).otherwise(2)
+    keys = F.concat(F.transform(deletions("said", tried), lambda k: F.xxhash64(F.lit("e"), k)), F.transform(_said_short("said"), lambda k: F.xxhash64(F.lit("s"), k)))
+    met = said.select("said", F.explode(keys).alias("key")).join(index, "key").select("said", "word").distinct()
+    met = materialize(met.where(_tells("said", "word")), "names-words")
+    near = spellings.select("spelling", F.explode("tries").alias("said")).join(met, "said").join(told_by, "word").select("spelling", "form")
+    fifths = known.where(F.length("glued") >= 8).select("form", F.col("glued").alias("whole"), F.explode(_fifths("glued")).alias("key"))
+    met_whole = _spread(spellings.where(F.length("glued") >= 6).select("spelling", "glued"), "spelling").select("spelling", "glued", F.explode(_met_fifths("glued")).alias("key")).join(fifths, "key")
+    # a swap counts two here
+    whole = met_whole.where(F.levenshtein("glued", "whole", 4) >= 0).select("spelling", "form")
+    # few letters are compared as a word is
+    brief = known.where(F.length("glued") < 8).select("form", F.col("glued").alias("whole"), F.explode(deletions("glued", F.lit(2))).alias("key"))
+    met_brief = spellings.where(F.length("glued").between(1, 9)).select("spelling", F.explode(deletions("glued", F.lit(2))).alias("key")).join(brief, "key")
+    short = met_brief.select("spelling", "form")
+    pairs = near.unionByName(whole).unionByName(short).distinct().join(known.select("form_id", "form", "rare", "as_is"), "form").join(spellings.select("spelling", "n"), "spelling")
 
     @F.pandas_udf(T.DoubleType())
     def cost(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for spelling, meant, told in batches:
-            yield pd.Series([channel_cost(s, f, set(r)) for s, f, r in zip(spelling, meant, told)], dtype="float64")
-
-    # an explicit number of parts, as the pairs are few bytes but much work
-    cores = max(2, rows.sparkSession.sparkContext.defaultParallelism)
-    scored = (
-        pairs.repartition(2 * cores, "spelling")
-        .withColumn("cost", cost("spelling", "form", "rare"))
-        .where(F.col("cost") <= MOST)
-        .withColumn("post", F.ln(F.coalesce("as_is", F.lit(0)) + 1) * 0.25 - F.col("cost"))
-    )
-    # spellings written often that only a typo ties to a form stand for themselves
-    own = (F.col("cost") >= TYPO) & (F.col("n") >= OWN_FORM) & (F.col("n") * 3 > F.coalesce("as_is", F.lit(0)))
+        for spelling, form, told in batches:
+            yield pd.Series([channel_cost(s, f, set(r)) for s, f, r in zip(spelling, form, told)], dtype="float64")
+
+    found = _spread(pairs, "spelling").withColumn("cost", cost("spelling", "form", "rare")).where((F.col("cost") <= MOST) & (F.col("spelling") != F.col("form")))
+    return materialize(found.select("spelling", "n", "form_id", "form", "as_is", "cost"), "names-scored")
+
+
+def _best(pairs: DataFrame, typical: float) -> DataFrame:
+    """The form of the greatest posterior of each spelling, unless the second comes within MARGIN or the spelling stands for itself."""
     # the first two of each spelling decide; the third and later ones never leave their task
-    order = Window.partitionBy("spelling").orderBy(F.desc("post"), "form_id")
-    best = (
-        scored.withColumn("__no", F.row_number().over(order))
+    order = Window.partitionBy("spelling").orderBy(F.desc("post"), "form_id", "form")
+    own = (F.col("cost") >= TYPO) & (F.col("n") > F.greatest(F.coalesce("as_is", F.lit(0)), F.lit(FLOOR * typical)) * OWN_SHARE)
+    return (
+        pairs.withColumn("post", F.ln(F.coalesce("as_is", F.lit(0)) / max(typical, 1e-9) + 0.3) * 0.25 - F.col("cost"))
+        .withColumn("__no", F.row_number().over(order))
         .where(F.col("__no") <= 2)
         .groupBy("spelling")
-        .agg(
-            F.min_by(F.struct("n", "form_id", "form", "cost", "post", "as_is"), "__no").alias("m"),
-            F.max(F.when(F.col("__no") == 2, F.col("post"))).alias("second"),
-        )
-        .select("spelling", "m.n", "m.form_id", "m.form", "m.cost", "m.post", "m.as_is", "second")
-        .where(F.col("second").isNull() | (F.col("post") - F.col("second") >= MARGIN))
-        .where(~own)
+        .agg(F.min_by(F.struct("n", "form_id", "form", "cost", "post", "as_is"), "__no").alias("m"), F.max(F.when(F.col("__no") == 2, F.col("post"))).alias("second"))
+        .select("spelling", "m.*", "second")
+        .where((F.col("second").isNull() | (F.col("post") - F.col("second") >= MARGIN)) & ~own)
+        .select("spelling", "n", "form_id", "form", "cost")
     )
-    return exact.unionByName(best.select("spelling", "n", "form_id", "form", "cost"))
+
+
+def attribute(rows: DataFrame, name: str, register: DataFrame, form_id: str, form: str) -> DataFrame:
+    """spelling, n, form_id, form, cost of every distinct spelling that has a form; those that are one have cost 0. form_id is null beside the register."""
+    counts = materialize(spelling_counts(rows, name).withColumn("p", _prepared("spelling")).select("spelling", "n", "p.*"), "names-spellings")
+    listed = register.where(F.trim(form) != "").select(F.col(form_id).alias("form_id"), F.col(form).alias("form")).dropDuplicates(["form"])
+    listed = listed.withColumn("p", _prepared("form")).select("form_id", "form", "p.glued", "p.parts")
+    listed = materialize(listed.join(counts.select(F.col("spelling").alias("form"), F.col("n").alias("as_is")), "form", "left"), "names-forms")
+    typical = float(listed.agg(F.median("as_is")).first()[0] or 0)
+    exact = listed.where("as_is is not null").select(F.col("form").alias("spelling"), F.col("as_is").alias("n"), "form_id", "form", F.lit(0.0).alias("cost"))
+    loose = counts.join(listed.select(F.col("form").alias("spelling")), "spelling", "left_anti").where(~F.col("glued").isin(*PLACEHOLDERS))
+    by_register = scored(loose, listed, listed)
+    plain_best = _best(by_register, typical)
+    # frequent spellings that no entry explains are forms beside the register
+    unexplained = loose.where(F.col("n") > F.lit(FREQUENT * typical)).join(plain_best.select("spelling"), "spelling", "left_anti")
+    own = unexplained.select(F.lit(None).cast(dict(listed.dtypes)["form_id"]).alias("form_id"), F.col("spelling").alias("form"), "glued", "parts", F.col("n").alias("as_is"))
+    own = materialize(own, "names-own-forms")
+    rest = loose.join(own.select(F.col("form").alias("spelling")), "spelling", "left_anti")
+    beside = scored(rest, own, listed.select("parts").unionByName(own.select("parts")))
+    stands = own.select(F.col("form").alias("spelling"), F.col("as_is").alias("n"), "form_id", "form", F.lit(0.0).alias("cost"))
+    best = _best(by_register.join(stands.select("spelling"), "spelling", "left_anti").unionByName(beside), typical)
+    return exact.unionByName(stands).unionByName(best)
 
 
 def variant_rows(rows: DataFrame, row_id: str, name: str, register: DataFrame, form_id: str, form: str) -> DataFrame:
-    """row_id, form_id of rows whose name differs from its form in any character."""
-    linked = materialize(attribute(rows, name, register, form_id, form).where("cost > 0").select("spelling", "form_id"), "names-linked")
+    """row_id, form_id of rows whose name differs from its register entry in any character."""
+    found = attribute(rows, name, register, form_id, form).where("cost > 0 and form_id is not null")
+    linked = materialize(found.select("spelling", "form_id"), "names-linked")
     return rows.select(F.col(row_id), F.col(name).alias("spelling")).join(linked, "spelling").select(row_id, F.col("form_id").alias(form_id))
