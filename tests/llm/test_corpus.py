@@ -318,7 +318,8 @@ def test_distance_is_symmetric_and_bounded(a, b):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=120))
 def test_no_bin_overflows(sizes):
-    got = packing.pack(sizes, 64)
+    got, counted = packing.pack(sizes, 64)
+    assert all(packing.CLASSES > 64 // s for s, c in zip(sizes, counted) if c)
     used = {}
     for s, b in zip(sizes, got):
         used[b] = used.get(b, 0) + s
@@ -326,6 +327,17 @@ def test_no_bin_overflows(sizes):
     assert len(used) <= 1.7 * -(-sum(sizes) // 64) + 1 and set(used) == set(range(len(used)))
 
 
+def test_bins_are_the_same_whatever_the_cores(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PER_WORKER", 100)
+    rng = random.Random(8)
+    rows = [(i, rng.randint(1, 700)) for i in range(600)]
+    packs = spark.createDataFrame([(1, 512), (2, 2048)], "pack_id bigint, capacity_tokens bigint")
+    made = lambda parts: sorted(map(tuple, packing.packed(spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint").repartition(parts), packs).collect()))
+    assert made(1) == made(7)
+    (a, b) = packing.fill(packing.packed(spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint"), packs), packs).orderBy("pack_id").collect()
+    assert a.used_tokens == b.used_tokens == sum(n for _, n in rows) and 0.9 < b.filled <= 1 and 0 < a.counted_items <= a.items
+
+
 def test_long_texts_are_cut_and_others_are_whole(spark):
     sized = spark.createDataFrame([(1, 1300), (2, 100), (3, 0), (4, 412), (5, 512)], "doc_id bigint, n_tokens bigint")
     packs = spark.createDataFrame([(1, 512), (2, 2048), (3, None)], "pack_id bigint, capacity_tokens bigint")

@@ -76,6 +76,11 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.containers(packing.packed(_p9_sizes(spark, sf_dir), packs), packs)
 
 
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packs = table(spark, sf_dir, "pack_sizes")
+    return packing.fill(packing.packed(_p9_sizes(spark, sf_dir), packs), packs)
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_spans(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_ids": p8_ids,
     "p9_packed": p9_packed,
     "p9_containers": p9_containers,
+    "p9_fill": p9_fill,
     "p10_found": p10_found,
     "p10_sentences": p10_sentences,
 }
