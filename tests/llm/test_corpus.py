@@ -1,6 +1,7 @@
 """The corpus operators against brute force, exact round trips and small hand-made cases."""
 
 import itertools
+import math
 import random
 
 import pytest
@@ -172,21 +173,72 @@ def test_one_byte_forms_are_found_however_often_they_are_repeated(spark):
 # -- fusion -----------------------------------------------------------------------------------------------------
 
 
-def test_copied_votes_count_less():
-    accuracy = {"a": 0.8, "b": 0.8, "c": 0.8}
-    free = fusion.vote(["a", "b", "c"], accuracy, {})
-    copied = fusion.vote(["a", "b", "c"], accuracy, {("a", "b"): 1.0, ("a", "c"): 1.0, ("b", "c"): 1.0})
-    assert copied < free and copied > fusion.vote(["a"], accuracy, {})
-    assert fusion.dependence_of(0.8, 0.8, 2, 12, 0) > 0.99 > 0.05 > fusion.dependence_of(0.8, 0.8, 5, 0, 9)
+def fused(spark, rows):
+    """Accuracies, dependences, surviving values of (item, value, source) claims."""
+    df = spark.createDataFrame([(str(i), v, s, f"{i}-{s}") for i, v, s in rows], "item string, value string, source string, id string")
+    values = fusion.materialize(fusion.claims(df, ["item"], "value", "source", "id", [F.lit(0).cast("bigint")]), "test-claims")
+    accuracy, dependence = fusion.estimate(values, ["item"], "value")
+    found = fusion.survivors(values, ["item"], "value", accuracy, dependence)
+    return {r.s: r.a for r in accuracy.collect()}, {(r.a, r.b): r.p for r in dependence.collect()}, {r.item: (r.value, r.votes) for r in found.collect()}
 
 
 def test_votes_decide_among_values_of_one_rank(spark):
-    rows = [(i, "x", s, f"{i}-{s}") for i in range(30) for s in ("good1", "good2")] + [(i, "x" if i % 2 else f"bad{i}", "bad", f"{i}-bad") for i in range(30)]
-    df = spark.createDataFrame([(str(i), v, s, r) for i, v, s, r in rows], "item string, value string, source string, id string")
-    values = fusion.claims(df, ["item"], "value", "source", "id", [F.lit(0).cast("bigint")]).cache()
-    accuracy, dependence = fusion.estimate(values, ["item"])
-    assert accuracy["good1"] > accuracy["bad"]
-    assert {r.value for r in fusion.survivors(values, ["item"], "value", accuracy, dependence).collect()} == {"x"}
+    rows = [(i, "x", s) for i in range(30) for s in ("good1", "good2")] + [(i, "x" if i % 2 else f"bad{i}", "bad") for i in range(30)]
+    accuracy, _, found = fused(spark, rows)
+    assert accuracy["good1"] > accuracy["bad"] and {v for v, _ in found.values()} == {"x"}
+
+
+def test_copies_are_found_and_outvoted(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(120):
+        said = {s: "true" if rng.random() < 0.8 else f"false {rng.randrange(20)}" for s in ("own1", "own2", "own3")}
+        # a bad source that is copied twice outnumbers the others
+        bad = "true" if rng.random() < 0.35 else f"false {rng.randrange(20)}"
+        rows += [(i, v, s) for s, v in (said | {"bad": bad, "copy1": bad, "copy2": bad}).items()]
+    accuracy, dependence, found = fused(spark, rows)
+    assert min(dependence["bad", "copy1"], dependence["bad", "copy2"], dependence["copy1", "copy2"]) > 0.9 > 0.2 > dependence["own1", "own2"]
+    right = sum(v == "true" for v, _ in found.values())
+    counted = {}
+    for i, v, _ in rows:
+        counted.setdefault(str(i), []).append(v)
+    by_number = sum(max(sorted(set(vs)), key=vs.count) == "true" for vs in counted.values())
+    assert right > by_number + 10 and right > 100
+
+
+def test_votes_equal_the_formula(spark):
+    acc = {"a": 0.9, "b": 0.8, "c": 0.8, "d": 0.6}
+    dep = {("a", "b"): 0.5, ("b", "c"): 1.0, ("a", "d"): 0.1}
+    values = spark.createDataFrame([("i", "v", list("abcd")), ("i", "w", ["c"]), ("j", "v", ["new"])], "item string, value string, sources array<string>")
+    accuracy = spark.createDataFrame(list(acc.items()), "s string, a double")
+    dependence = spark.createDataFrame([(a, b, p) for (a, b), p in dep.items()], "a string, b string, p double")
+    got = {(r.item, r.value): r.votes for r in fusion.votes(values, ["item", "value"], accuracy, dependence).collect()}
+
+    def vote(sources):
+        total, before = 0.0, []
+        for s in sorted(sources, key=lambda x: (-acc.get(x, fusion.ACCURACY), x)):
+            a = acc.get(s, fusion.ACCURACY)
+            own = math.prod(1 - fusion.COPIED * dep.get((min(s, t), max(s, t)), 0.0) for t in before)
+            total += own * math.log(fusion.FALSE_VALUES * a / (1 - a))
+            before.append(s)
+        return total
+
+    assert got == {k: pytest.approx(vote(v)) for k, v in {("i", "v"): "abcd", ("i", "w"): "c", ("j", "v"): ["new"]}.items()}
+
+
+def test_merged_records_follow_the_rows_that_survive(spark, sf):
+    jobs = {r.id: r for r in spark.read.parquet(f"{sf}/jobs.parquet").collect()}
+    found = {r.canonical_url: r for r in queries.p1_found(spark, sf).collect()}
+    merged = queries.p1_merged(spark, sf).collect()
+    assert {r.canonical_url for r in merged} == set(found)
+    for r in merged:
+        ids = found[r.canonical_url]
+        assert ((r.data_id or ""), (r.posted_id or ""), (r.apply_id or "")) == (ids.data_id, ids.posted_id, ids.apply_id)
+        assert r.data == (jobs[r.data_id].data if r.data_id else None) and r.posted_at == (jobs[r.posted_id].posted_at if r.posted_id else None)
+        titles = {" ".join(j.title.split()) for j in jobs.values() if j.canonical_url == r.canonical_url and j.title and j.title.strip()}
+        assert r.title in titles or not titles
+    report = queries.p1_sources(spark, sf).collect()
+    assert all(0 < x.dependence < 1 and x.source_a < x.source_b and 0 < x.accuracy_a < 1 for x in report)
 
 
 # -- near duplicates --------------------------------------------------------------------------------------------
