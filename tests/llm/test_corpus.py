@@ -191,8 +191,8 @@ def test_votes_decide_among_values_of_one_rank(spark):
 def test_copies_are_found_and_outvoted(spark):
     rng = random.Random(3)
     rows = []
-    for i in range(120):
-        said = {s: "true" if rng.random() < 0.8 else f"false {rng.randrange(20)}" for s in ("own1", "own2", "own3")}
+    for i in range(150):
+        said = {f"own{k}": "true" if rng.random() < 0.75 else f"false {rng.randrange(20)}" for k in range(1, 6)}
         # a bad source that is copied twice outnumbers the others
         bad = "true" if rng.random() < 0.35 else f"false {rng.randrange(20)}"
         rows += [(i, v, s) for s, v in (said | {"bad": bad, "copy1": bad, "copy2": bad}).items()]
@@ -203,7 +203,7 @@ def test_copies_are_found_and_outvoted(spark):
     for i, v, _ in rows:
         counted.setdefault(str(i), []).append(v)
     by_number = sum(max(sorted(set(vs)), key=vs.count) == "true" for vs in counted.values())
-    assert right > by_number + 10 and right > 100
+    assert right > by_number + 15 and right > 135
 
 
 def test_votes_equal_the_formula(spark):
