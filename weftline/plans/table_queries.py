@@ -9,7 +9,7 @@ from weftline.functions import listing, rules, text, urls
 from weftline.operators import linkage, sinks, state
 from weftline.plans.graph import components
 from weftline.plans.stages import materialize, spread, table
-from weftline.plans.text_queries import NOW, _COMPANY, _TITLE, sql_chain, sql_collapse, sql_match
+from weftline.plans.text_queries import NOW, sql_collapse, sql_company, sql_title
 from weftline.sources import json_boards
 from weftline.streaming import counts_by_window, sessions
 
@@ -17,8 +17,8 @@ c = F.col
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-SQL_COMPANY = sql_collapse(sql_chain(sql_match("coalesce(company, '')"), _COMPANY))
-SQL_TITLE = f"regexp_replace({sql_collapse(sql_chain(sql_match('title'), _TITLE))}, '\\bi$', '1')"
+SQL_COMPANY = sql_company("company")
+SQL_TITLE = sql_title("title")
 
 
 def query(sql: str | None = None):

@@ -214,31 +214,44 @@ def via_host(spark, sf):
 # -- listings
 
 
-def sql_chain(x: str, steps: list[tuple[str, str]]) -> str:
+def sql_company(x: str) -> str:
+    """The company key, spelled in the words of its definition."""
+    name = f"regexp_replace({sql_match(f'coalesce({x}, {chr(39) * 2})')}, '\\((formerly|fka|f/k/a|a\\s+subsidiary|part\\s+of)[^)]*\\)', ' ', 'g')"
+    name = f"replace(regexp_replace({name}, '\\b(dba|db/a|d/ba|d/b/a|doing business as)\\b.*$', ' '), '&', ' and ')"
+    name = f"regexp_replace(regexp_replace({name}, '\\bhealth\\s+care\\b', 'healthcare', 'g'), '[^a-z0-9 ]+', ' ', 'g')"
+    ends = "incorporated|inc|l ?l ?c|ltd|limited|corp|corporation|co|company|plc|lp|llp|pllc|p ?c|p ?a|gmbh|sa|ag|bv|nv|holdings?"
+    name = f"regexp_replace(regexp_replace({name}, ' +', ' ', 'g'), '\\b({ends})\\b', ' ', 'g')"
+    return sql_collapse(f"regexp_replace({name}, '^the ', '')")
+
+
+def sql_title(x: str) -> str:
+    """The title key, spelled in the words of its definition."""
+    states = (
+        "district of columbia|north carolina|south carolina|massachusetts|new hampshire|west virginia|north dakota|pennsylvania|rhode island|south dakota|puerto rico|connecticut|mississippi|california|"
+        "new jersey|new mexico|washington|louisiana|minnesota|tennessee|wisconsin|delaware|arkansas|colorado|illinois|kentucky|maryland|michigan|missouri|nebraska|new york|oklahoma|virginia|alabama|arizona|"
+        "florida|georgia|indiana|montana|vermont|wyoming|alaska|hawaii|kansas|nevada|oregon|idaho|maine|texas|iowa|ohio|utah|"
+        "al|ak|az|ar|ca|co|ct|dc|de|fl|ga|hi|id|il|in|ia|ks|ky|la|me|md|ma|mi|mn|ms|mo|mt|ne|nv|nh|nj|nm|ny|nc|nd|oh|ok|or|pa|pr|ri|sc|sd|tn|tx|ut|vt|va|wa|wv|wi|wy"
+    )
+    steps = [
+        ("\\b(req|requisition|job) *(id|#|no\\.?|number)? *[:#] *[a-z]*[-_]?[0-9][a-z0-9_-]*", " "), ("\\b(req|jr|r)[-_]?[0-9]{4,}\\b", " "), ("# *[a-z0-9_]+", " "), ("[(\\[{][^)\\]}]*[)\\]}]", " "),
+        (f" *[-|,:] *(remote *[-,]? *)?({states}) *$", " "), (f" *[-|,:] *(remote *[-,]? *)?({states}) *$", " "), ("&", " and "), ("\\bsr\\b", "senior"), ("\\bjr\\b", "junior"), ("\\bspec\\b", "specialist"),
+        ("\\breps?\\b", "representative"), ("\\bcoord\\b", "coordinator"), ("\\bmgr\\b", "manager"), ("\\basst\\b", "assistant"), ("\\bassoc\\b", "associate"), ("\\badmin\\b", "administrator"),
+        ("\\ba */ *r\\b", "accounts receivable"), ("\\brcm\\b", "revenue cycle management"), ("\\biv\\b", "4"), ("\\biii\\b", "3"), ("\\bii\\b", "2"), ("[^a-z0-9]+", " "),
+        ("\\b(fully|full ?time|part ?time|remote|remotely|work from home|wfh|telecommute|telework|virtual|hybrid|on ?site|nationwide|anywhere|united states|usa|us|contract|temp|temporary|per diem|prn|"
+         "days|nights|evenings|weekends?|shift|urgent|urgently|hiring|immediate|immediately|now|new)\\b", " "),
+    ]
+    x = sql_match(x)
     for pattern, to in steps:
         x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
-    return x
+    return f"regexp_replace({sql_collapse(x)}, '\\bi$', '1')"
 
 
-_COMPANY = [
-    (r"\((?:formerly|fka|f/k/a|a +subsidiary|part +of)[^)]*\)", " "), (r"\b(?:d/?b/?a|doing business as)\b.*$", " "), ("&", " and "), (r"\bhealth +care\b", "healthcare"),
-    ("[^a-z0-9 ]+", " "), (rf"\b(?:{listing.LEGAL})\b\.?", " "), ("^the +", ""),
-]
-
-
-@query(f"SELECT id, {sql_collapse(sql_chain(sql_match(chr(99) + 'oalesce(company, ' + chr(39) * 2 + ')'), _COMPANY))} AS company_k FROM jobs")
+@query(f"SELECT id, {sql_company('company')} AS company_k FROM jobs")
 def company_key(spark, sf):
     return table(spark, sf, "jobs").select("id", listing.company_key(c("company")).alias("company_k"))
 
 
-_TITLE = [
-    (r"\b(?:req(?:uisition)?|job) *(?:id|#|no\.?|number)? *[:#] *[a-z]*[-_]?[0-9][a-z0-9_-]*", " "), (r"\b(?:req|jr|r)[-_]?[0-9]{4,}\b", " "), (r"# *[a-z0-9_]+", " "), (r"[(\[{][^)\]}]*[)\]}]", " "),
-    *[(rf" *[-|,:] *(?:remote *[-,]? *)?(?:{listing._STATE}) *$", " ")] * 2, ("&", " and "), *[(rf"\b{w}\b\.?", f) for w, f in listing.TITLE_WORDS], ("[^a-z0-9 ]+", " "),
-    (rf"\b(?:{listing.TITLE_NOISE})\b", " "),
-]
-
-
-@query(f"SELECT id, regexp_replace({sql_collapse(sql_chain(sql_match('title'), _TITLE))}, '\\bi$', '1') AS title_k FROM jobs")
+@query(f"SELECT id, {sql_title('title')} AS title_k FROM jobs")
 def title_key(spark, sf):
     return table(spark, sf, "jobs").select("id", listing.title_key(c("title")).alias("title_k"))
 
@@ -285,15 +298,31 @@ def round_half_up(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", listing.round_half_up(c("l_extendedprice") * c("l_discount")).alias("cut"))
 
 
-_NAMES = "|".join(sorted((s.split(":")[1].replace("_", " ") for s in listing.STATES.split()), key=lambda w: (-len(w), w)))
+_STATE_LIST = (
+    "district of columbia|north carolina|south carolina|massachusetts|new hampshire|west virginia|north dakota|pennsylvania|rhode island|south dakota|puerto rico|connecticut|mississippi|california|"
+    "new jersey|new mexico|washington|louisiana|minnesota|tennessee|wisconsin|delaware|arkansas|colorado|illinois|kentucky|maryland|michigan|missouri|nebraska|new york|oklahoma|virginia|alabama|arizona|"
+    "florida|georgia|indiana|montana|vermont|wyoming|alaska|hawaii|kansas|nevada|oregon|idaho|maine|texas|iowa|ohio|utah"
+)
 
 
-@query(f"""WITH t AS (SELECT raw_id, regexp_extract_all(lower(coalesce(title, '')), '\\b({_NAMES})\\b', 1) l FROM raw_jobs)
+@query(f"""WITH t AS (SELECT raw_id, regexp_extract_all(lower(coalesce(title, '')), '\\b({_STATE_LIST})\\b', 1) l FROM raw_jobs)
 SELECT raw_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ';') AS states FROM t""")
 def states_named(spark, sf):
     return table(spark, sf, "raw_jobs").select("raw_id", F.array_join(listing.states_named(F.coalesce("title", F.lit(""))), ";").alias("states"))
 
 
+@query("""SELECT raw_id, regexp_matches(location, '(?i)\\bunited\\s+states(\\s+of\\s+america)?\\b|\\bu\\.\\s?s\\.\\s?a\\b|\\busa\\b|\\bu\\.\\s?s\\.($|[^a-z0-9_])|(^|[\\s,(/-])us($|[\\s,)/-])') AS us,
+regexp_matches(location, '(?i)\\b(north\\s+america|americas|world\\s*wide|global|globally|international|any\\s+location|all\\s+countries)\\b') OR (regexp_matches(location, '(?i)\\banywhere\\b') AND NOT regexp_matches(location, '(?i)\\banywhere\\s+in\\b')) AS wide
+FROM raw_jobs WHERE location IS NOT NULL""")
+def country_named(spark, sf):
+    return table(spark, sf, "raw_jobs").where("location is not null").select("raw_id", listing.names_country(c("location")).alias("us"), listing.names_wide_region(c("location")).alias("wide"))
+
+
+@query()
+def states_found(spark, sf):
+    return table(spark, sf, "raw_jobs").select("raw_id", F.array_join(listing.states_found(F.coalesce("location", F.lit(""))), ";").alias("states"))
+
+
 # -- rules
 
 SIGNS = ("claim", "denial", "ledger", "payer", "audit", "coding", "billing")
