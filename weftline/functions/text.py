@@ -22,13 +22,21 @@ ENTITIES = {
 }
 # Tags that end a line.
 BLOCK_TAGS = "p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|blockquote"
-# Fixed values: (pattern, label) of pages that refuse a client; the first that fits counts.
+# Fixed values: (label, pattern, least status, second pattern) of pages that refuse a client; the first that fits counts.
 REFUSALS = (
-    (r"(?i)<title>\s*Just a moment\.\.\.\s*</title>", "Cloudflare managed challenge"),
-    (r"(?i)<title>\s*Attention Required! \| Cloudflare\s*</title>", "Cloudflare block page"),
-    (r"(?i)challenges\.cloudflare\.com/turnstile|turnstileLoad\s*=", "Cloudflare Turnstile challenge"),
-    (r"(?i)<title>\s*Access Denied\s*</title>", "Akamai edge block (Access Denied)"),
+    ("DataDome CAPTCHA", r"(?i)captcha-delivery\.com|datadome", 400, None),
+    ("Cloudflare managed challenge", r"(?i)<title>\s*Just a moment\.\.\.\s*</title>", 0, None),
+    ("Cloudflare block page", r"(?i)<title>\s*Attention Required! \| Cloudflare\s*</title>", 0, None),
+    ("Cloudflare Turnstile challenge", r"(?i)challenges\.cloudflare\.com/turnstile|turnstileLoad\s*=", 0, None),
+    ("PerimeterX CAPTCHA", r"(?i)px-captcha|perimeterx", 400, None),
+    ("Glassdoor security check", r"(?i)<title>\s*Security \| Glassdoor\s*</title>", 0, None),
+    ("Indeed security check", r"(?i)<title[^>]*>\s*Security Check - Indeed\.com\s*</title>", 0, None),
+    ("JobRight security check", r"(?i)<title[^>]*>\s*Security check \| Jobright\s*</title>", 0, None),
+    ("Akamai edge block (Access Denied)", r"(?i)<title>\s*Access Denied\s*</title>", 0, r"(?i)edgesuite(\.|&#46;)net"),
 )
+# Parameters of an address that are secret, and an address that holds its key in the path.
+SECRET_PARAMS = "api_key apikey key token access_token affid password secret".split()
+KEY_IN_PATH = r"(?i)(jooble\.org/api/)[^/?\s\"']+"
 #: Longest part of a text that the page and keyword checks look at, as the semantics ask for.
 HEAD = 20_000
 
@@ -160,19 +168,21 @@ def html_to_text(c: Column) -> Column:
     return F.coalesce(F.regexp_replace(squeezed, rf"^[{WS}]+|[{WS}]+\z", ""), F.lit(""))
 
 
-def refusal(body: Column, status: Column) -> Column:
-    """Label of the first sign that a page refuses the client, else null."""
-    head, out = F.substring(body, 1, HEAD), None
-    for pattern, label in REFUSALS:
-        out = F.when(head.rlike(pattern), label) if out is None else out.when(head.rlike(pattern), label)
-    return out.when(status == 999, "Request denied by anti-bot system (HTTP 999)")
+def refusal(body: Column, status: Column, mitigated: Column | None = None) -> Column:
+    """Label of the first sign that a page refuses the client, else null. mitigated: the answer's header of that name."""
+    head = F.coalesce(F.substring(body, 1, HEAD), F.lit(""))
+    said = [F.when(mitigated == "challenge", F.lit("Cloudflare challenge (cf-mitigated)"))] if mitigated is not None else []
+    for label, pattern, least, second in REFUSALS:
+        fits = head.rlike(pattern) & (F.coalesce(status, F.lit(0)) >= least)
+        said.append(F.when(fits & head.rlike(second) if second else fits, F.lit(label)))
+    return F.coalesce(*said, F.when(status == 999, F.lit("Request denied by anti-bot system (HTTP 999)")))
 
 
 def redact(c: Column) -> Column:
-    """Secrets out of a log line: bearer tokens, key=value secrets, credentials in addresses."""
-    c = F.regexp_replace(c, r"(?i)(bearer\s+)[a-z0-9._~+/=-]+", "$1[redacted]")
-    c = F.regexp_replace(c, r"(?i)((?:api[_-]?key|token|secret|password|authorization)\s*[=:]\s*)[^\s&\"',;]+", "$1[redacted]")
-    return F.regexp_replace(c, r"(?i)(https?://)[^/@\s:]+:[^/@\s]+@", "$1[redacted]@")
+    """Secrets out of a log line: a key in a path, secret parameters, credentials before a host."""
+    c = F.regexp_replace(c, KEY_IN_PATH, "$1***")
+    c = F.regexp_replace(c, rf"(?i)([?&](?:{'|'.join(SECRET_PARAMS)})=)[^&\s\"']+", "$1***")
+    return F.regexp_replace(c, r"(?i)(\b[a-z][a-z0-9+.-]*://)[^/@\s:]+:[^/@\s]+@", "$1***:***@")
 
 
 def retry_after_ms(value: Column, now: Column) -> Column:

@@ -118,11 +118,13 @@ def dedupe_terms(spark, sf):
     return table(spark, sf, "raw_jobs").select("raw_id", F.coalesce(F.array_join(text.dedupe_terms(c("foundBy")), ";"), F.lit("")).alias("terms"))
 
 
-@query("""SELECT doc_id, regexp_replace(regexp_replace('token=' || doc_id || ' ' || coalesce(substr(text, 1, 40), ''), '(?i)(bearer\\s+)[a-z0-9._~+/=-]+', '\\1[redacted]', 'g'),
-'(?i)((?:api[_-]?key|token|secret|password|authorization)\\s*[=:]\\s*)[^\\s&"'',;]+', '\\1[redacted]', 'g') AS line FROM documents""")
+@query("""WITH t AS (SELECT doc_id, 'GET https://me:' || doc_id || '@x.example/a?Token=' || doc_id || '&q=1&affid=z' || doc_id || ' https://jooble.org/api/k' || doc_id || ' ' || coalesce(text, '') s FROM documents)
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(s, '(?i)(jooble[.]org/api/)[^/?\\s"'']+', '\\1***', 'g'), '(?i)([?&](api_key|apikey|key|token|access_token|affid|password|secret)=)[^&\\s"'']+', '\\1***', 'g'),
+'(?i)(\\b[a-z][a-z0-9+.-]*://)[^/@\\s:]+:[^/@\\s]+@', '\\1***:***@', 'g') AS line FROM t""")
 def redact(spark, sf):
-    line = F.concat(F.lit("token="), c("doc_id"), F.lit(" "), F.coalesce(F.substring("text", 1, 40), F.lit("")))
-    return table(spark, sf, "documents").select("doc_id", text.redact(line).alias("line"))
+    k = c("doc_id")
+    head = F.concat(F.lit("GET https://me:"), k, F.lit("@x.example/a?Token="), k, F.lit("&q=1&affid=z"), k, F.lit(" https://jooble.org/api/k"), k, F.lit(" "))
+    return table(spark, sf, "documents").select("doc_id", text.redact(F.concat(head, F.coalesce("text", F.lit("")))).alias("line"))
 
 
 @query("""WITH t AS (SELECT raw_id, CASE WHEN length(title) > 32000 THEN substr(title, 1, 31999) || '…' ELSE title END s FROM raw_jobs),
@@ -137,11 +139,12 @@ def html_escape(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.html_escape(c("text")).alias("safe"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, list_transform(string_split(replace(text, chr(13), ' '), chr(10)), lambda x: {sql_collapse('x')}) l FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[<>&]'))
-SELECT doc_id, trim(regexp_replace(array_to_string(['• ' || company_n] || l, chr(10)), '\\n{{2,}}', chr(10) || chr(10), 'g'), chr(10) || ' ') AS plain FROM (SELECT t.doc_id, t.l, d.doc_id::VARCHAR company_n FROM t JOIN documents d USING (doc_id))""")
+@query(f"""WITH t AS (SELECT doc_id, list_transform(string_split(replace(text, chr(13), ' '), chr(10)), lambda x: {sql_collapse('x')}) l FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, trim(regexp_replace(array_to_string(['• ' || doc_id::VARCHAR] || l, chr(10)), '\\n{{2,}}', chr(10) || chr(10), 'g'), chr(10) || ' ') AS plain FROM t""")
 def html_to_text(spark, sf):
-    docs = table(spark, sf, "documents").where(r"text is not null and not text rlike '[<>&]'")
-    page = F.concat(F.lit("<script>var a = 1;</script><ul><li>"), c("doc_id"), F.lit("</li>"), F.replace(F.replace("text", F.lit("\r"), F.lit(" ")), F.lit("\n"), F.lit("<br/>")), F.lit("</ul>"))
+    docs = table(spark, sf, "documents").where("text is not null")
+    body = F.replace(F.replace(text.html_escape(c("text")), F.lit("\r"), F.lit(" ")), F.lit("\n"), F.lit("<br/>"))
+    page = F.concat(F.lit("<script>var a = 1;</script><ul><li>"), c("doc_id"), F.lit("</li>"), body, F.lit("</ul>"))
     return docs.select("doc_id", text.html_to_text(page).alias("plain"))
 
 
@@ -190,24 +193,42 @@ def ssrf_guard(spark, sf):
     return rows.select("url", urls.is_public_http(c("url")).alias("ok"))
 
 
-# Addresses with what a tracking system's rule takes from them.
-TRACKED = (
-    ("https://boards.greenhouse.io/Acme/jobs/4411?gh_src=x", "Greenhouse", "4411", "acme"), ("https://jobs.lever.co/acme/9a-8b", "Lever", "9a-8b", "acme"),
-    ("https://acme.wd5.myworkdayjobs.com/en-US/ext/job/Coder_JR-10023", "Workday", "JR-10023", "acme"), ("https://careers-acme.icims.com/jobs/7781/coder/job", "iCIMS", "7781", "careers-acme"),
-    ("https://acme.bamboohr.com/careers/55", "BambooHR", "55", "acme"), ("https://example.org/jobs/1", None, None, None),
+# Forms of addresses ({c} a company, {j} a job), with the system, job and company that they tell.
+FORMS = (
+    ("https://boards.greenhouse.io/{c}/jobs/{j}?gh_src=x", "Greenhouse", True, True), ("https://boards.greenhouse.io/embed/job_app?for={c}&gh_jid={j}", "Greenhouse", True, True), ("https://jobs.lever.co/{c}/{j}/apply", "Lever", True, True),
+    ("https://{c}.wd5.myworkdayjobs.com/en-US/ext/job/Coder_JR-100{j}", "Workday", "JR-100", True), ("https://jobs.ashbyhq.com/{c}/{j}", "Ashby", True, True), ("https://jobs.smartrecruiters.com/{c}/{j}-coder", "SmartRecruiters", True, True),
+    ("https://careers-{c}.icims.com/jobs/{j}/coder/job", "iCIMS", True, True), ("https://jobs.jobvite.com/{c}/job/{j}", "Jobvite", True, True), ("https://jobs.jobvite.com/{c}?j={j}", "Jobvite", True, True),
+    ("https://{c}.bamboohr.com/careers/{j}", "BambooHR", True, True), ("https://{c}.bamboohr.com/view.php?id={j}", "BambooHR", True, True), ("https://{c}.fa.us2.oraclecloud.com/x/job/{j}/", "Oracle Recruiting", True, True),
+    ("https://{c}.taleo.net/careersection/jobdetail.ftl?job={j}", "Oracle Recruiting", True, True), ("https://workforcenow.adp.com/x.html?cid={c}&jobId={j}", "ADP Recruiting", True, True),
+    ("https://recruiting.ultipro.com/X1/{c}/JobBoard/b?opportunityId={j}", "UKG", True, True), ("https://recruiting.paylocity.com/Recruiting/Jobs/Details/{j}/x", "Paylocity", True, False),
+    ("https://www.paycomonline.net/v4/ats/web.php/jobs?clientkey={c}&job={j}", "Paycom", True, True), ("https://apply.workable.com/{c}/j/{j}/", "Workable", True, True), ("https://{c}.applytojob.com/apply/x/{j}", "JazzHR", True, True),
+    ("https://{c}.breezy.hr/p/{j}", "Breezy HR", True, True), ("https://ats.rippling.com/{c}/jobs/{j}", "Rippling", True, True), ("https://career4.successfactors.com/career?company={c}", "SuccessFactors", False, False),
+    ("https://jobs.dayforcehcm.com/en/{c}/jobs/{j}", "Dayforce", True, True), ("https://{c}.recruitee.com/o/{j}", "Recruitee", True, True), ("https://careers.{c}.example/jobs/{j}", None, False, False),
 )
+_SQL_FORMS = ", ".join("(" + ", ".join([str(i), f"'{u}'", f"'{p}'" if p else "NULL", f"'{j}'" if isinstance(j, str) else "''" if j else "NULL", "''" if k else "NULL"]) + ")" for i, (u, p, j, k) in enumerate(FORMS))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in r) + ")" for r in TRACKED) + ") t(url, provider, job_id, company)")
+@query(f"""WITH f(i, u, provider, j, k) AS (VALUES {_SQL_FORMS}), t AS (SELECT id, ((times_seen + ascii(right(id, 1))) % {len(FORMS)})::INT i, 'c' || (times_seen % 7)::VARCHAR co, (1000 + times_seen * 13)::VARCHAR no FROM jobs)
+SELECT id, f.provider, f.j || no AS job_id, f.k || co AS company FROM t JOIN f USING (i)""")
 def ats_detect(spark, sf):
-    rows = spark.createDataFrame([(r[0],) for r in TRACKED], "url string")
+    k = (c("times_seen") + F.ascii(F.right("id", F.lit(1)))) % len(FORMS)
+    form = F.element_at(F.array(*[F.lit(u) for u, *_ in FORMS]), (k + 1).cast("int"))
+    url = F.replace(F.replace(form, F.lit("{c}"), F.concat(F.lit("c"), (c("times_seen") % 7).cast("string"))), F.lit("{j}"), (1000 + c("times_seen") * 13).cast("string"))
     a = urls.detect_ats(c("url"))
-    return rows.select("url", a["provider"].alias("provider"), a["job_id"].alias("job_id"), a["company"].alias("company"))
+    return table(spark, sf, "jobs").select("id", url.alias("url")).select("id", a["provider"].alias("provider"), a["job_id"].alias("job_id"), a["company"].alias("company"))
+
+
+@query("""WITH t AS (SELECT id, lower(regexp_extract(apply_url, '^https?://([^/:?#]+)', 1)) h, regexp_extract(apply_url, '^https?://[^/?#]+([^?#]*)', 1) p FROM jobs WHERE apply_url IS NOT NULL)
+SELECT id, regexp_matches(h, '(^|[.])(linkedin|dice|remoteok|remotive|jobicy|simplyhired|ziprecruiter|monster|careerbuilder|builtin|wellfound|flexjobs|weworkremotely|talent|lensa|jobgether|jobviewtrack)[.]com$|(^|[.])(jooble[.]org|jobbank[.]gc[.]ca|jobright[.]ai|himalayas[.]app)$|(^|[.])(careerjet|glassdoor|adzuna)[.][a-z.]+$') AS board,
+regexp_matches(h, '(^|[.])(jobviewtrack[.]com|jooble[.]org)$') OR regexp_matches(p, '(?i)/(away|redirect|out|clk|click|rc/clk)($|[^a-z0-9_])') AS tracker, NOT board AND NOT tracker AS employer FROM t""")
+def address_kinds(spark, sf):
+    u = c("apply_url")
+    return table(spark, sf, "jobs").where("apply_url is not null").select("id", urls.is_board(u).alias("board"), urls.is_tracker(u).alias("tracker"), urls.is_employer(u).alias("employer"))
 
 
 @query("""SELECT raw_id, regexp_matches(lower(jobUrl), '^https?://(www\\.)?wrenboard\\.example') OR coalesce(regexp_matches(lower(applyUrl), '^https?://(www\\.)?wrenboard\\.example'), false) AS from_host FROM raw_jobs""")
 def via_host(spark, sf):
-    at = lambda x: urls.leads_to(c(x), r"^(www\.)?wrenboard\.example$", 1)
+    at = lambda x: urls.leads_to(c(x), r"^(www\.)?wrenboard\.example$")
     return table(spark, sf, "raw_jobs").select("raw_id", (at("jobUrl") | at("applyUrl")).alias("from_host"))
 
 
