@@ -134,9 +134,9 @@ def test_expired_entries_are_not_seen(spark):
 
 def test_swap_replaces_a_table(spark, tmp_path):
     path = str(tmp_path / "t")
-    state.write_swap(spark.range(3), path)
-    state.write_swap(spark.range(5), path)
-    assert spark.read.parquet(path).count() == 5
+    state.write_state(spark.range(3), path, ["id"])
+    state.write_state(spark.range(5), path, ["id"])
+    assert state.read_state(spark, path).count() == 5
 
 
 def test_csv_file_has_mark_and_crlf(spark, tmp_path):

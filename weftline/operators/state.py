@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -36,8 +38,10 @@ def reposted(posted: Column, original: Column, hours: float = 12.0) -> Column:
 
 def with_expiry(rows: DataFrame, cache: DataFrame, key: list[str], expires: str, now: Column) -> DataFrame:
     """Left lookup into a cache, entries past their expiry not seen. Columns of the cache beside key and expires come along."""
-    live = cache.where(F.col(expires) >= now).drop(expires)
-    return rows.join(live.dropDuplicates(key), key, "left")
+    # of several entries of a key the one that expires last
+    rest = [c for c in cache.columns if c not in (*key, expires)]
+    last = cache.where(F.col(expires) >= now).groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(expires, *rest)).alias("__r")).select(*key, "__r.*")
+    return rows.join(last, key, "left")
 
 
 def override(detail: dict[str, str]) -> dict[str, Column]:
@@ -93,16 +97,130 @@ def follow(hops: DataFrame, most: int = 6) -> DataFrame:
     return out.select("origin", "target", F.col("hops").cast("bigint").alias("hops"))
 
 
-def write_swap(df: DataFrame, path: str) -> None:
-    """Replaces a table: written beside the old one first, then moved into its place, so a failed run leaves the old."""
-    spark = df.sparkSession
+# -- state kept as a table: versions of its buckets, and one pointer file that names those which hold
+
+BUCKETS = 64
+_POINTER = "_current.json"
+
+
+def _files(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    target, fresh, old = (jvm.org.apache.hadoop.fs.Path(path + s) for s in ("", ".new", ".old"))
-    files = target.getFileSystem(hadoop)
-    df.write.mode("overwrite").parquet(path + ".new")
-    if files.exists(target):
-        files.delete(old, True)
-        files.rename(target, old)
-    files.rename(fresh, target)
-    files.delete(old, True)
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _pointer(spark: SparkSession, path: str) -> dict:
+    """What the pointer file says; an empty state where there is none."""
+    jvm, folder, files = _files(spark, path)
+    at = jvm.org.apache.hadoop.fs.Path(folder, _POINTER)
+    if not files.exists(at):
+        return {"batch": None, "parts": {}}
+    stream = files.open(at)
+    try:
+        return json.loads(str(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+    finally:
+        stream.close()
+
+
+def _point(spark: SparkSession, path: str, said: dict) -> None:
+    """Replaces the pointer file in one step, then removes versions that no bucket has any more."""
+    jvm, folder, files = _files(spark, path)
+    fresh = jvm.org.apache.hadoop.fs.Path(folder, f"_fresh-{uuid.uuid4().hex}")
+    out = files.create(fresh, True)
+    out.write(bytearray(json.dumps(said).encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(folder.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(context.makeQualified(fresh), context.makeQualified(jvm.org.apache.hadoop.fs.Path(folder, _POINTER)), options)
+    held = {p.split("/")[0] for p in said["parts"].values()}
+    for x in files.listStatus(folder):
+        name = x.getPath().getName()
+        if name.startswith("v-") and name not in held:
+            files.delete(x.getPath(), True)
+
+
+def read_state(spark: SparkSession, path: str, buckets: set[int] | None = None) -> DataFrame | None:
+    """The state's rows, of some buckets or all; None where there are none."""
+    parts = _pointer(spark, path)["parts"]
+    paths = [f"{path}/{p}" for b, p in parts.items() if buckets is None or int(b) in buckets]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def last_batch(spark: SparkSession, path: str) -> int | None:
+    return _pointer(spark, path)["batch"]
+
+
+def bucket_of(key: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int")
+
+
+def write_state(df: DataFrame, path: str, key: list[str], buckets: set[int] | None = None, batch: int | None = None) -> None:
+    """Replaces some buckets of a state, or all, by df's rows. A run that fails at any point leaves the state as it was."""
+    spark = df.sparkSession
+    version = f"v-{uuid.uuid4().hex}"
+    df.withColumn("__bucket", bucket_of(key)).repartition("__bucket").write.partitionBy("__bucket").parquet(f"{path}/{version}")
+    said = _pointer(spark, path)
+    kept = {} if buckets is None else {b: p for b, p in said["parts"].items() if int(b) not in buckets}
+    jvm, folder, files = _files(spark, f"{path}/{version}")
+    new = {x.getPath().getName().removeprefix("__bucket="): f"{version}/{x.getPath().getName()}" for x in files.listStatus(folder) if x.getPath().getName().startswith("__bucket=")}
+    _point(spark, path, {"batch": batch if batch is not None else said["batch"], "parts": kept | new})
+
+
+# -- listings of a run into the listings of all runs
+
+
+def resolved(incoming: DataFrame, stored: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """row_id, found, via: the stored id of each incoming listing by the first key that knows it.
+
+    Keys in order: source and its own id (sources: source, source_key, job_id), canonical_url, tracking system's id with
+    the company, fingerprint of company and title (the oldest). incoming: row_id, canonical_url, ats_provider, ats_job_id,
+    company, fingerprint, and source, source_key where sources are given. stored: id, canonical_url, ats_provider, ats_job_id,
+    company, fingerprint, first_seen_at. An empty company or title makes no fingerprint.
+    """
+    least = lambda keys, rows: rows.groupBy(*keys).agg(F.min("id").alias("id"))
+    ats = ["ats_provider", "ats_job_id", "company"]
+    whole = F.col("fingerprint").rlike(r"^[^|]+\|[^|]+$")
+    dims = [
+        ("url", least(["canonical_url"], stored), ["canonical_url"]),
+        ("ats", least(ats, stored.where("ats_provider <> '' and ats_job_id <> ''")), ats),
+        ("fingerprint", stored.where(whole).groupBy("fingerprint").agg(F.min_by("id", F.struct("first_seen_at", "id")).alias("id")), ["fingerprint"]),
+    ]
+    if sources is not None:
+        dims.insert(0, ("source", sources.groupBy("source", "source_key").agg(F.min("job_id").alias("id")), ["source", "source_key"]))
+    return cascade(incoming, "row_id", dims)
+
+
+def upserted(stored: DataFrame, incoming: DataFrame, found: DataFrame, now: str, hours: float = 12.0) -> DataFrame:
+    """id, is_new, first_seen_at, last_seen_at, times_seen, posted_at, original_posted_at, reposted_at, ats_provider, ats_job_id of every listing.
+
+    A new listing is first and last seen now. One that is known keeps its first_seen_at and original_posted_at and takes
+    the values of the last of its incoming rows (by row_id), but a null never wipes a tracking system's id; it is reposted at a
+    posted_at more than `hours` after the original. Unseen listings stay as they are, is_new null.
+    stored: these columns but is_new. incoming: row_id, posted_at, ats_provider, ats_job_id. found: as of resolved.
+    """
+    came = incoming.join(found.select("row_id", "found"), "row_id").withColumn("id", F.coalesce("found", "row_id"))
+    known = came.where("found is not null").join(stored.select("id", F.coalesce("original_posted_at", "posted_at").alias("__o")), "id")
+    at = lambda c: F.unix_millis(F.try_to_timestamp(c))
+    again = F.coalesce((at(F.col("posted_at")) - at(F.col("__o"))) > hours * 3_600_000, F.lit(False))
+    last = lambda c, cond=None: F.max_by(c, "row_id") if cond is None else F.max_by(F.when(cond, F.col(c)), F.when(cond, F.col("row_id")))
+    news = known.withColumn("__again", again).groupBy("id").agg(
+        F.count(F.lit(1)).alias("k"), last("posted_at").alias("posted"), last("posted_at", F.col("__again")).alias("re"),
+        last("ats_provider", F.col("ats_provider").isNotNull()).alias("ap"), last("ats_job_id", F.col("ats_job_id").isNotNull()).alias("aj"),
+    )
+    seen = F.col("k").isNotNull()
+    old = stored.join(news, "id", "left").select(
+        "id", F.when(seen, F.lit(False)).alias("is_new"), "first_seen_at", F.when(seen, F.lit(now)).otherwise(F.col("last_seen_at")).alias("last_seen_at"), (F.col("times_seen") + F.coalesce("k", F.lit(0))).alias("times_seen"),
+        F.when(seen, F.col("posted")).otherwise(F.col("posted_at")).alias("posted_at"), "original_posted_at", F.coalesce("re", "reposted_at").alias("reposted_at"), F.coalesce("ap", "ats_provider").alias("ats_provider"), F.coalesce("aj", "ats_job_id").alias("ats_job_id"),
+    )
+    fresh = came.where("found is null").select(
+        "id", F.lit(True).alias("is_new"), F.lit(now).alias("first_seen_at"), F.lit(now).alias("last_seen_at"), F.lit(1).cast("bigint").alias("times_seen"), "posted_at", F.col("posted_at").alias("original_posted_at"),
+        F.lit(None).cast("string").alias("reposted_at"), "ats_provider", "ats_job_id",
+    )
+    return old.unionByName(fresh)
+
+
+def repointed(duplicates: DataFrame, found: DataFrame) -> DataFrame:
+    """Duplicates whose survivor (duplicate_of) was stored under another id point to that one."""
+    ids = found.where("found is not null").select(F.col("row_id").alias("duplicate_of"), "found")
+    return duplicates.join(ids, "duplicate_of", "left").withColumn("duplicate_of", F.coalesce("found", "duplicate_of")).drop("found")

@@ -17,25 +17,55 @@ from pyspark.sql import functions as F
 _SHARED_KEY = "spark.checkpoint.dir"
 
 
+#: Shared folders made for applications without one, by application.
+_made: dict[str, str] = {}
+_cleaned: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share: the session's spark.checkpoint.dir.
 
     Only where the setting is missing (local tests) a temporary folder is made,
-    once per application, and removed at exit.
+    once per application, and removed at exit. A cluster without the setting is an error.
     """
     found = spark.conf.get(_SHARED_KEY, None) or spark.sparkContext.getConf().get(_SHARED_KEY)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError(f"{_SHARED_KEY} must name a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="weftline-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    spark.conf.set(_SHARED_KEY, f"file://{made}")
-    return f"file://{made}"
+    key = spark.sparkContext.applicationId
+    if key not in _made:
+        folder = tempfile.mkdtemp(prefix="weftline-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _made[key] = f"file://{folder}"
+    return _made[key]
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/weftline/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/weftline/{label}-{uuid.uuid4().hex}"
+    """A new path in the application's own folder, which is removed at its exit."""
+    root = _scratch_root(spark)
+    if root not in _cleaned:
+        _cleaned.add(root)
+        atexit.register(_remove, spark, root)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    except Exception:  # the session has ended before
+        if path.startswith("file:"):
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes all intermediate tables of this application: once its results are written, none is read again."""
+    _remove(spark, _scratch_root(spark))
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -47,7 +77,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 #: Rows of a bare key up to which a table, once counted, is sent to all executors.
-SMALL_KEYS = 1_000_000
+SMALL_KEYS = 250_000
 
 
 def sent_if_small(keys: DataFrame, most: int = SMALL_KEYS) -> DataFrame:

@@ -4,32 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from weftline.operators.state import merge_by_key, write_swap
+from weftline.operators.state import bucket_of, last_batch, merge_by_key, read_state, write_state
 
 
-def upsert_stream(stream: DataFrame, state_path: str, key: list[str], checkpoint: str, merged: Callable[[], dict]) -> StreamingQuery:
-    """Runs a keyed merge of each batch into a table, available data only. merged() gives the columns over aliases s and i.
+def payload_stream(spark: SparkSession, folder: str, schema: str, files: int = 100) -> DataFrame:
+    """Payloads as they arrive in a folder, so many files a batch: the pull of a run, without its network."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(folder)
 
-    A batch that comes again after a failure is told by its number, kept beside the state, and not merged twice.
+
+def upsert_stream(
+    stream: DataFrame, state_path: str, key: list[str], checkpoint: str, merged: Callable[[], dict], keep: Callable[[], Column] | None = None
+) -> StreamingQuery:
+    """Runs a keyed merge of each batch into a state, available data only. merged() gives the columns over aliases s and i.
+
+    The state is kept in buckets of keys: a batch reads and writes the buckets of its own keys only. keep() tells which
+    rows are still to be held (a time to live); others are dropped when their bucket is written. A batch that comes again
+    after a failure is told by its number, kept in the state's pointer, and not merged twice.
     """
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
-        try:
-            state = spark.read.parquet(state_path)
-        except Exception as e:  # no state yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            state = df.limit(0).withColumn("batch_no", F.lit(-1).cast("bigint"))
-        done = state.agg(F.max("batch_no")).first()[0]
+        done = last_batch(spark, state_path)
         if done is not None and done >= number:
             return
-        out = merge_by_key(state, df, key, merged()).withColumn("batch_no", F.lit(number).cast("bigint"))
-        write_swap(out, state_path)
+        # at most BUCKETS numbers
+        buckets = {r[0] for r in df.select(bucket_of(key)).distinct().collect()}
+        state = read_state(spark, state_path, buckets)
+        if state is None:
+            state = df.limit(0)
+        out = merge_by_key(state, df, key, merged())
+        write_state(out.where(keep()) if keep else out, state_path, key, buckets, number)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
