@@ -125,3 +125,33 @@ def test_search_parameters():
     for body in ({}, {"titles": []}, {"titles": ["x"]}, {"titles": ["a<b>"]}, {"titles": ["ok"], "hours_old": 0}, {"titles": ["ok"], "what": 1}, {"titles": ["ok"], "remote_only": "yes"}, {"titles": ["ok"] * 51}):
         with pytest.raises(ValueError):
             SearchParams.parse(body)
+
+
+def test_posted_time_is_the_surer_one():
+    from weftline.functions.timeparse import resolve_posted
+
+    now = 1_790_607_600 * 1_000_000  # 2026-09-28T15:00:00Z
+    hour = 3600 * 1_000_000
+    assert resolve_posted("2026-09-28T10:00:00Z", "2 hours ago", now) == (now - 5 * hour, "exact")
+    assert resolve_posted("2026-09-28", "16 minutes ago", now) == (now - hour * 16 // 60, "exact")
+    assert resolve_posted("2026-09-28", "2 days ago", now) == (now - 3 * hour, "estimated")
+    assert resolve_posted(None, "an hour ago", now) == (now - hour, "estimated")
+    assert resolve_posted(None, "today", now) == (now - 12 * hour, "estimated")
+    assert resolve_posted(None, "2026-09-27T15:00:00Z", now) == (now - 24 * hour, "exact")
+    assert resolve_posted("2026-09-29T10:00:00Z", None, now) == (now, "exact")
+    assert resolve_posted("2026-10-05T10:00:00Z", None, now) == resolve_posted("1999-01-01", "soon", now) == resolve_posted(None, None, now) == (None, "unknown")
+
+
+def test_period_is_told_from_plain_amounts_only():
+    from weftline.functions.pay import listing_pay
+
+    assert listing_pay("$25")[3] == "hour" and listing_pay("$60,000")[3] == "year" and listing_pay("$5,000")[3] is None and listing_pay("$50k per month")[3] == "month" and listing_pay("soon") is None
+
+
+def test_states_and_countries(spark):
+    from weftline.functions import listing
+
+    df = spark.createDataFrame([(1, "Austin, TX"), (2, "Washington, DC"), (3, "Remote - CA / New  York"), (4, "(FL), GA"), (5, "IN the office"), (6, "us"), (7, "contact us now"), (8, "Anywhere in Europe"), (9, "Worldwide")], "k int, t string")
+    got = {r.k: r for r in df.select("k", listing.states_found(F.col("t")).alias("s"), listing.names_country(F.col("t")).alias("u"), listing.names_wide_region(F.col("t")).alias("w")).collect()}
+    assert [got[k].s for k in (1, 2, 3, 4, 5)] == [["TX"], ["DC"], ["NY", "CA"], ["FL", "GA"], []]
+    assert got[6].u and not got[1].u and got[9].w and not got[8].w

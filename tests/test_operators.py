@@ -66,11 +66,28 @@ def replay(events):
     return out
 
 
+def ledger_of(events):
+    """The ledger of one entity in Python: what the windows, the sweep and the join give."""
+    sweep, firsts, rows = history.Sweep(), {}, []
+    said = {}
+    for v, r, s in events:
+        if v not in said or said[v][-1][1] != s:
+            said.setdefault(v, []).append((r, s))
+        firsts.setdefault(v, r)
+    spans = [x for v, r in firsts.items() if (x := sweep.add(v, r))] + sweep.open_rows()
+    for v, to, since, until in spans:
+        for (at, s), nxt in zip(said[v], [x[0] for x in said[v][1:]] + [None]):
+            began, ended = max(at, since), min((x for x in (nxt, until) if x is not None), default=None)
+            if ended is None or began < ended:
+                rows.append((v, to, began, ended, s))
+    return rows
+
+
 def test_ledger_tells_every_past_state():
     rng = random.Random(3)
     for _ in range(50):
         events = [(rng.randrange(6), t, rng.choice("abc")) for t in range(12)]
-        rows = history.sweep(events)
+        rows = ledger_of(events)
         for t, expected in enumerate(replay(events)):
             at = {(a, b, s) for a, b, since, until, s in rows if since <= t and (until is None or until > t)}
             assert at == expected
@@ -84,13 +101,35 @@ def test_ledger_splits_a_covering_interval(spark):
     assert found == {("j", 1, None, 1, 3, "x"), ("j", 1, 3, 3, 9, "x"), ("j", 1, 2, 9, None, "x"), ("j", 2, 3, 9, None, "z"), ("j", 3, None, 3, None, "y"), ("k", 1, None, 2, None, None)}
 
 
-def test_dictionary_grows_by_what_is_new(spark):
+def test_dictionary_grows_by_what_is_new(spark, tmp_path, monkeypatch):
+    store = str(tmp_path / "d")
     first = spark.createDataFrame([("2026-01-01", "UTC", "mdy"), ("5 days ago", None, None)], "text string, zone string, date_order string")
     more = first.unionByName(spark.createDataFrame([("2026-01-02", "UTC", "mdy"), ("", "UTC", "mdy"), (None, None, None)], first.schema))
-    known = instants.extend_dictionary(first)
-    again = instants.extend_dictionary(more, known)
-    assert known.count() == 2 and again.count() == 3
-    assert {(r.text, r.back_s) for r in again.collect() if r.back_s} == {("5 days ago", 432000)}
+    assert instants.extend_dictionary(first, store).count() == 2
+    assert instants.extend_dictionary(more, store).count() == 3 == spark.read.parquet(store).count()
+    assert {(r.text, r.back_s) for r in spark.read.parquet(store).collect() if r.back_s} == {("5 days ago", 432000)}
+    # a second run over the same notations parses nothing
+    refuse = F.udf(lambda *x: 1 / 0, "struct<at_us: bigint, back_s: bigint>")
+    monkeypatch.setattr(instants, "_read", refuse)
+    assert instants.extend_dictionary(more, store).count() == 3 == spark.read.parquet(store).count()
+
+
+def test_change_of_period_is_taken_back(spark):
+    rng, rows = random.Random(2), []
+    for i in range(400):
+        day = (datetime(2026, 1, 1) + timedelta(days=i)).isoformat() + "Z"
+        hourly = 30 * math.exp(rng.gauss(0, 0.2))
+        # for a while a source records yearly amounts under its hourly unit
+        value = hourly * 2080 if 120 <= i < 260 else hourly
+        rows.append((i, "s", day, None, (float(value), None, "usd", "hour")))
+        rows.append((1000 + i, "t", day, f"${hourly * 2080:,.0f} a year", None))
+        # another pays four times as much from a day on: that is no change of unit
+        rows.append((2000 + i, "u", day, None, (float(hourly * (3.3 if i > 200 else 1)), None, "usd", "hour")))
+    factors = spark.createDataFrame([("period", "year", 1.0), ("period", "hour", 2080.0), ("period", "month", 12.0), ("period", "week", 52.0), ("currency", "USD", 1.0), ("currency", "INR", 0.012)], "kind string, code string, factor double")
+    got = {r.raw_id: r for r in units.yearly_pay(spark.createDataFrame(rows, PAY_ROW), factors).collect()}
+    assert {i for i in range(400) if got[i].factor != 1.0} == set(range(120, 260)) and got[130].factor == 2080.0
+    assert all(20_000 < got[i].min_usd_year < 200_000 for i in range(400))
+    assert all(got[2000 + i].factor == 1.0 for i in range(400))
 
 
 def test_components_of_a_long_chain(spark):

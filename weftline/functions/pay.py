@@ -120,3 +120,17 @@ def currency_code(text: str | None) -> str | None:
 
 def period_code(text: str | None) -> str | None:
     return _CODES.get(re.sub(r"[\s-]+", "_", text.strip().lower())) if text else None
+
+
+# Amounts that tell their period, where a listing states none.
+SIZES = {"hour": (10, 250), "year": (15_000, 1_000_000)}
+
+
+def listing_pay(text: str | None) -> tuple[float | None, float | None, str | None, str | None] | None:
+    """As read_pay, for showing a listing: a period that isn't stated is told from the amount, where that is plain."""
+    found = read_pay(text)
+    if found is None:
+        return None
+    low, high, money, period = found
+    top = high if high is not None else low
+    return low, high, money, period or next((k for k, (a, b) in SIZES.items() if top is not None and a <= top <= b), None)

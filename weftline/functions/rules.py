@@ -31,3 +31,9 @@ def all_reasons(checks: Sequence[tuple[str, Column]]) -> Column:
 def evidence(text: Column, weights: Mapping[str, float]) -> Column:
     """Sum of the weights of the patterns that a text holds."""
     return sum((F.when(text.rlike(p), F.lit(float(w))).otherwise(0.0) for p, w in weights.items()), F.lit(0.0))
+
+
+def ranked_terms(found: Column) -> Column:
+    """Matches (array<struct<term, score>>) that score, best first, of equal ones the longer term, then by the alphabet."""
+    key = lambda t: F.struct((-t["score"]).alias("a"), (-F.length(t["term"])).alias("b"), t["term"].alias("c"), t.alias("t"))
+    return F.transform(F.array_sort(F.transform(F.filter(found, lambda t: t["score"] > 0), key)), lambda k: k["t"])

@@ -158,3 +158,38 @@ def read_time(text: str | None, zone: str | None = None, order: str | None = Non
         return None, None
     at = absolute(text, zone, order)
     return (at, None) if at is not None else (None, relative(text))
+
+
+# How far behind the fetch a time may lie to count as clock skew, in microseconds.
+SKEW = 48 * 3600 * 1_000_000
+EARLIEST = 946_684_800 * 1_000_000
+
+
+def sure_absolute(text: str, fetched: int) -> tuple[int, str] | None:
+    """(instant, confidence) of an absolute notation seen from its fetch: days are estimated, times a little ahead are the fetch's, others null."""
+    at = absolute(text)
+    if at is None or not EARLIEST <= at <= fetched + SKEW:
+        return None
+    return min(at, fetched), "estimated" if re.fullmatch(r"\d{4}-\d{2}-\d{2}", text.strip()) else "exact"
+
+
+def sure_relative(text: str, fetched: int) -> tuple[int, str] | None:
+    """(instant, confidence) of a relative notation: exact where it counts seconds, minutes or hours in figures."""
+    back = relative(text)
+    if back is None:
+        return None
+    counted = any((m := shape.fullmatch(_SAID.sub("", _clean(text).lower()).strip())) and m["n"].isdigit() and UNITS.get(m["u"], 86400) <= 3600 for shape in _RELATIVE)
+    return fetched - back * 1_000_000, "exact" if counted else "estimated"
+
+
+def resolve_posted(value: str | None, text: str | None, fetched: int | None) -> tuple[int | None, str]:
+    """The surer of a listing's time and its text: exact time, exact text, time, text, a time that stands in the text."""
+    if fetched is None:
+        return None, "unknown"
+    told = sure_absolute(value, fetched) if value and value.strip() else None
+    said = sure_relative(text, fetched) if text and text.strip() else None
+    late = sure_absolute(text, fetched) if text and text.strip() and said is None else None
+    for found in (told if told and told[1] == "exact" else None, said if said and said[1] == "exact" else None, told, said, late):
+        if found:
+            return found
+    return None, "unknown"

@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.functions.timeparse import read_time
-from weftline.plans.stages import materialize
+from weftline.functions.timeparse import read_time, resolve_posted
+from weftline.plans.stages import kept_path, path_exists
 
 EARLIEST = 946_684_800  # 2000-01-01
 
@@ -27,17 +27,24 @@ def _read(text: pd.Series, zone: pd.Series, order: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"at_us": pd.array([a for a, _ in found], dtype="Int64"), "back_s": pd.array([b for _, b in found], dtype="Int64")})
 
 
-def extend_dictionary(notations: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Dictionary text, zone, date_order -> at_us, back_s of all notations; only those that `known` lacks are parsed.
+_KEYS = ["text", "zone", "date_order"]
+_DICTIONARY = "text string, zone string, date_order string, at_us bigint, back_s bigint"
 
-    The result is a table in the shared folder; the caller may keep it for the next run.
+
+def extend_dictionary(notations: DataFrame, store: str | None = None) -> DataFrame:
+    """Dictionary text, zone, date_order -> at_us, back_s: only notations that the store lacks are parsed, and appended to it.
+
+    store: path of the dictionary, kept for later runs; without one it lies in the application's scratch folder, so that
+    later calls of the same application find it. Two runs that append the same notation at once do no harm.
     """
-    keys = ["text", "zone", "date_order"]
-    seen = notations.select(*keys).where(F.trim("text") != "").distinct()
-    if known is not None:
-        seen = seen.join(known, [F.equal_null(seen[k], known[k]) for k in keys], "left_anti")
-    new = seen.withColumn("t", _read(*keys)).select(*keys, "t.at_us", "t.back_s")
-    return materialize(new if known is None else known.select(*new.columns).unionByName(new), "time-dictionary")
+    spark = notations.sparkSession
+    store = store or kept_path(spark, "time-dictionary")
+    seen = notations.select(*_KEYS).where(F.trim("text") != "").distinct()
+    if path_exists(spark, store):
+        known = spark.read.schema(_DICTIONARY).parquet(store)
+        seen = seen.join(known, [F.equal_null(seen[k], known[k]) for k in _KEYS], "left_anti")
+    seen.withColumn("t", _read(*_KEYS)).select(*_KEYS, "t.at_us", "t.back_s").write.mode("append").parquet(store)
+    return spark.read.schema(_DICTIONARY).parquet(store).dropDuplicates(_KEYS)
 
 
 def utc_micros(iso: Column) -> Column:
@@ -45,12 +52,12 @@ def utc_micros(iso: Column) -> Column:
     return F.unix_micros(F.try_to_timestamp(iso))
 
 
-def resolve(values: DataFrame, keys: list[str], known: DataFrame | None = None) -> DataFrame:
+def resolve(values: DataFrame, keys: list[str], store: str | None = None) -> DataFrame:
     """keys, epoch_s of each value that names an instant from 2000 up to its row's fetch.
 
     values: keys, text, zone, date_order, fetched_us. Zone and order may be null.
     """
-    lookup = extend_dictionary(values, known)
+    lookup = extend_dictionary(values, store)
     v, d = values.where(F.trim("text") != "").alias("v"), lookup.alias("d")
     same = (F.col("v.text") == F.col("d.text")) & F.equal_null("v.zone", "d.zone") & F.equal_null("v.date_order", "d.date_order")
     at = F.coalesce(F.col("d.at_us"), F.col("v.fetched_us") - F.col("d.back_s") * 1_000_000)
@@ -62,7 +69,18 @@ def resolve(values: DataFrame, keys: list[str], known: DataFrame | None = None)
     )
 
 
-def listing_times(raw_jobs: DataFrame, items: DataFrame, feeds: DataFrame, item_source: str = "jobright") -> DataFrame:
+@F.pandas_udf(T.StructType().add("at_us", T.LongType()).add("confidence", T.StringType()))
+def _posted(value: pd.Series, text: pd.Series, fetched: pd.Series) -> pd.DataFrame:
+    found = [resolve_posted(a, b, None if pd.isna(f) else int(f)) for a, b, f in zip(value, text, fetched)]
+    return pd.DataFrame({"at_us": pd.array([a for a, _ in found], dtype="Int64"), "confidence": [b for _, b in found]})
+
+
+def posted_at(value: Column, text: Column, fetched: Column) -> Column:
+    """struct<at_us, confidence> of a listing: its time or its relative text, whichever is surer."""
+    return _posted(value, text, utc_micros(fetched))
+
+
+def listing_times(raw_jobs: DataFrame, items: DataFrame, feeds: DataFrame, item_source: str = "jobright", store: str | None = None) -> DataFrame:
     """tab, rec_id, field_name, epoch_s of postedAt, postedText and publishTime."""
     zones = feeds.groupBy("source").agg(F.first("zone_name", True).alias("zone"), F.first("date_order", True).alias("date_order"))
     fields = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in ("postedAt", "postedText")])
@@ -79,4 +97,4 @@ def listing_times(raw_jobs: DataFrame, items: DataFrame, feeds: DataFrame, item_
         )
     )
     values = rows.where(F.trim("text") != "").join(zones, "source", "left")
-    return resolve(values, ["tab", "rec_id", "field_name"])
+    return resolve(values, ["tab", "rec_id", "field_name"], store)

@@ -46,5 +46,31 @@ def padded(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.join(F.broadcast(wide)).select(F.rtrim(F.concat_ws("  ", *[cell(c) for c in columns])).alias("line"))
 
 
-def escaped(c: Column) -> Column:
-    return html_escape(c)
+# Columns of the listings file, in order.
+LISTING_COLUMNS = (
+    "source sources title company location remote_type remote_scope employment_type salary_raw salary_min salary_max salary_currency salary_period matched_keyword matched_keywords "
+    "posted_at age_hours date_confidence description job_url apply_url via_indeed ats_provider listing_type canonical_url source_url company_domain keyword_category keyword_confidence "
+    "medical_role_score remote_confidence quality_flags first_seen_at is_new reposted_at duplicate_count is_duplicate duplicate_of id"
+).split()
+
+
+def listing_lines(rows: DataFrame) -> DataFrame:
+    """Lines of the listings file; the description is the plain text where there is one."""
+    text = [c for c in ("description_text", "description") if c in rows.columns]
+    return csv_lines(rows.withColumn("description", F.coalesce(*text)) if text else rows, LISTING_COLUMNS)
+
+
+def status_summary(statuses: DataFrame) -> DataFrame:
+    """attempted, succeeded, failed, skipped: one row over the sources' statuses."""
+    is_in = lambda *x: F.count_if(F.col("status").isin(*x))
+    return statuses.agg(F.count_if(F.col("status") != "SKIPPED").alias("attempted"), is_in("OK", "PARTIAL").alias("succeeded"), is_in("ERROR", "BLOCKED").alias("failed"), is_in("SKIPPED").alias("skipped"))
+
+
+def with_duplicates(unique: DataFrame, duplicates: DataFrame, wanted: bool) -> DataFrame:
+    """The listings of a result, with their duplicates where they are asked for."""
+    return unique.unionByName(duplicates, allowMissingColumns=True) if wanted else unique
+
+
+def split_accepted(rows: DataFrame, rejection: str = "rejection") -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) by a reason that is null or not."""
+    return rows.where(F.col(rejection).isNull()), rows.where(F.col(rejection).isNotNull())

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.functions import urls
+
 
 def first_by_key(rows: DataFrame, key: list[str], order: list[str], keep: list[str]) -> DataFrame:
     """One row a key, the first in order; a partial aggregate, so hot keys are reduced before the shuffle."""
@@ -97,6 +99,30 @@ def follow(hops: DataFrame, most: int = 6) -> DataFrame:
     return out.select("origin", "target", F.col("hops").cast("bigint").alias("hops"))
 
 
+def wants_detail(rows: DataFrame) -> Column:
+    """Whether a listing's detail page is still worth asking for: no reason against it, and no full text yet. rows: rejection, detail_fetched, snippet, text."""
+    open_text = F.coalesce("snippet", F.lit(True)) | (F.coalesce(F.col("text"), F.lit("")) == "")
+    return F.col("rejection").isNull() & ~F.coalesce("detail_fetched", F.lit(False)) & open_text
+
+
+def link_verdict(rows: DataFrame, refused_host: str) -> DataFrame:
+    """rows with code and flag of what following their address told, and the address behind a counter in its place.
+
+    rows: apply_url, canonical_url, status and final_url of the address followed (null where it wasn't).
+    """
+    gone = F.col("status").isin(404, 410)
+    refused = urls.leads_to(F.col("final_url"), refused_host)
+    moved = F.coalesce(urls.is_tracker(F.col("apply_url")) & ~urls.is_board(F.col("final_url")) & ~gone & ~refused, F.lit(False))
+    return rows.withColumns(
+        {
+            "code": F.when(refused, "refused_host").when(gone, "low_quality"),
+            "flag": F.when(gone & ~refused, "broken_apply_url"),
+            "apply_url": F.when(moved, urls.strip_tracking(F.col("final_url"))).otherwise(F.col("apply_url")),
+            "canonical_url": F.when(moved, urls.canonical(F.col("final_url"))).otherwise(F.col("canonical_url")),
+        }
+    )
+
+
 # -- state kept as a table: versions of its buckets, and one pointer file that names those which hold
 
 BUCKETS = 64

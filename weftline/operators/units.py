@@ -2,8 +2,8 @@
 
 Texts are read once per distinct text. Numbers that come without a text may have been recorded on
 another scale for a while (minor units, thousands): each source's history of log values is cut by an
-exact penalised changepoint search, and a segment whose level lies off the common level by a known
-factor is put back. The search runs on daily sums, pre-aggregated on the executors, so that its size is
+exact penalised changepoint search, and segments that lie off their neighbours by a known factor (a scale, or a ratio of
+two periods or currencies of the table of factors) are put back. The search runs on daily sums, pre-aggregated on the executors, so that its size is
 a source's number of days whatever its number of rows.
 
 Null, empty and unreadable texts state nothing; repeated rows each get their result.
@@ -19,15 +19,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.functions.pay import currency_code, period_code, read_pay
+from weftline.functions.pay import currency_code, listing_pay, period_code, read_pay
 from weftline.plans.stages import materialize
 
-#: Factors by which a source may be off its own scale.
-SHIFTS = (100.0, 1000.0, 0.01, 0.001)
+#: Changes of scale that any number may undergo; those of period and currency follow from the table of factors.
+SCALES = (100.0, 1000.0)
+#: Smaller changes than this, as a natural logarithm, can't be told from a change of the values themselves.
+LEAST_SHIFT = 1.0
 #: Penalty of one more segment, in units of the noise's variance times the log of the number of days.
 PENALTY = 3.0
-#: How far a segment's level may lie from a factor's, as a natural logarithm.
-TOLERANCE = 0.7
+#: How far a segment may lie from a factor's level: in standard errors, and at least as a natural logarithm.
+ERRORS, TOLERANCE = 3.0, 0.2
 
 _PAY = T.StructType().add("low", T.DoubleType()).add("high", T.DoubleType()).add("currency", T.StringType()).add("period", T.StringType()).add("stated", T.BooleanType())
 
@@ -49,6 +51,13 @@ def _period(codes: pd.Series) -> pd.Series:
     return codes.map(period_code)
 
 
+@F.pandas_udf(T.StructType().add("min", T.DoubleType()).add("max", T.DoubleType()).add("currency", T.StringType()).add("period", T.StringType()))
+def listing_salary(texts: pd.Series) -> pd.DataFrame:
+    """Structured pay of a listing's text."""
+    found = [listing_pay(x) or (None, None, None, None) for x in texts]
+    return pd.DataFrame(found, columns=["min", "max", "currency", "period"]).astype({"min": "float64", "max": "float64"})
+
+
 def changepoints(n: list[float], sums: list[float], squares: list[float], noise: float, penalty: float) -> list[int]:
     """Starts of the segments that minimise squared error plus penalty, by pruned exact search (PELT).
 
@@ -81,26 +90,56 @@ def changepoints(n: list[float], sums: list[float], squares: list[float], noise:
 _SEGMENT = T.StructType().add("source", T.StringType()).add("from_day", T.LongType()).add("to_day", T.LongType()).add("factor", T.DoubleType()).add("n", T.LongType()).add("level", T.DoubleType())
 
 
-def segments(values: DataFrame, level: float, noise: float) -> DataFrame:
+def known_shifts(unit_factors: DataFrame) -> list[float]:
+    """Factors by which recorded values may be off: scales, ratios of two periods' factors or two currencies', and their inverses.
+
+    unit_factors is a fixed table of few rows.
+    """
+    found = set(SCALES)
+    for r in unit_factors.where("factor > 0").groupBy("kind").agg(F.collect_set("factor").alias("f")).collect():
+        found |= {a / b for a in r.f for b in r.f}
+    return sorted({x for f in found for x in (f, 1 / f) if abs(math.log(f)) >= LEAST_SHIFT})
+
+
+def shift_of(off: float, error: float, known: list[float]) -> float:
+    """The known factor whose logarithm is nearest to an offset between two segments, 1 where none is near enough."""
+    if abs(off) < LEAST_SHIFT - TOLERANCE or abs(off) < ERRORS * error:
+        return 1.0
+    factor = min(known, key=lambda f: abs(off - math.log(f)), default=1.0)
+    return factor if abs(off - math.log(factor)) <= max(TOLERANCE, ERRORS * error) and abs(off - math.log(factor)) < abs(off) / 2 else 1.0
+
+
+def segments(values: DataFrame, level: float, noise: float, known: list[float]) -> DataFrame:
     """source, from_day, to_day (exclusive), factor, n, level of each source's segments.
 
     values: source, day (bigint), x (log of the value in common units). level and noise: mean and variance of x
-    where the unit is certain. factor is what the segment's values are to be divided by; 1 where no shift fits.
+    where the unit is certain. Of a source's segments the one nearest the common level (of several about as near, the
+    largest) is taken to be recorded as stated; from it on, to either side, each segment is compared with its neighbour:
+    a shift by a known factor changes the factor, any other change is one of the values. factor is what the segment's values
+    are to be divided by. The first segment itself is off if it lies by a known factor off the common level.
     """
     daily = values.groupBy("source", "day").agg(F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
-    known = [(math.log(f), f) for f in SHIFTS]
 
     def cut(key: tuple, days: pd.DataFrame) -> pd.DataFrame:
         days = days.sort_values("day")
         n, s, q, d = (days[c].tolist() for c in ("n", "s", "q", "day"))
         starts = changepoints(n, s, q, noise, PENALTY * math.log(max(2, len(n))))
-        rows = []
-        for i, j in zip(starts, [*starts[1:], len(n)]):
-            m = sum(n[i:j])
-            mean = sum(s[i:j]) / m
-            off, factor = min(known, key=lambda k: abs(mean - level - k[0]))
-            shifted = abs(mean - level - off) < min(TOLERANCE, abs(mean - level))
-            rows.append((key[0], d[i], d[j] if j < len(n) else 1 << 60, factor if shifted else 1.0, int(m), mean))
+        ends = [*starts[1:], len(n)]
+        size = [sum(n[i:j]) for i, j in zip(starts, ends)]
+        mean = [sum(s[i:j]) / m for i, j, m in zip(starts, ends, size)]
+        near = min(abs(m - level) for m in mean)
+        first = max((k for k, m in enumerate(mean) if abs(m - level) <= near + LEAST_SHIFT / 2), key=lambda k: size[k])
+        factor = [1.0] * len(starts)
+        factor[first] = shift_of(mean[first] - level, math.sqrt(noise / size[first] + noise), known)
+        for step in (1, -1):
+            for k in range(first + step, len(starts) if step > 0 else -1, step):
+                before = k - step
+                shift = shift_of(mean[k] - mean[before], math.sqrt(noise / size[k] + noise / size[before]), known)
+                factor[k] = factor[before] * shift
+                # a way back to the source's own scale isn't a product of two factors
+                if abs(math.log(factor[k])) < LEAST_SHIFT:
+                    factor[k] = 1.0
+        rows = [(key[0], d[i], d[j] if j < len(n) else 1 << 60, f, int(m), x) for i, j, f, m, x in zip(starts, ends, factor, size, mean)]
         return pd.DataFrame(rows, columns=_SEGMENT.names)
 
     return daily.groupBy("source").applyInPandas(cut, _SEGMENT)
@@ -157,7 +196,7 @@ def yearly_pay(raw_jobs: DataFrame, unit_factors: DataFrame) -> DataFrame:
     mean, var, n = logs.where("from_text").agg(F.avg("x"), F.var_pop("x"), F.count("x")).first() or (None, None, 0)
     if not n:
         return stated.select("raw_id", _usd(F.col("low"), F.col("rate")).alias("min_usd_year"), _usd(F.col("high"), F.col("rate")).alias("max_usd_year"), F.lit(1.0).alias("factor"))
-    shifts = segments(logs.where("not from_text"), mean, max(var, 1e-6)).where("factor <> 1").select(F.col("source").alias("__s"), "from_day", "to_day", "factor")
+    shifts = segments(logs.where("not from_text"), mean, max(var, 1e-6), known_shifts(unit_factors)).where("factor <> 1").select(F.col("source").alias("__s"), "from_day", "to_day", "factor")
     day = F.unix_date(F.to_date(F.try_to_timestamp("fetchedAt"))).cast("bigint")
     off = (F.col("source") == F.col("__s")) & ~F.col("from_text") & (day >= F.col("from_day")) & (day < F.col("to_day"))
     found = stated.join(shifts, off, "left").withColumn("factor", F.coalesce("factor", F.lit(1.0)))

@@ -54,6 +54,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
+def kept_path(spark: SparkSession, name: str) -> str:
+    """A path in the application's own folder that stays the same from call to call."""
+    return f"{scratch_path(spark, 'x').rpartition('/')[0]}/kept-{name}"
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.functions import listing, rules, text, urls
-from weftline.operators import linkage, sinks, state
+from weftline.operators import instants, linkage, sinks, state, units
 from weftline.plans.graph import components
 from weftline.plans.stages import materialize, spread, table
-from weftline.plans.text_queries import NOW, sql_collapse, sql_company, sql_title
+from weftline.plans.text_queries import NOW, sql_collapse, sql_company, sql_title, sql_words
 from weftline.sources import json_boards
 from weftline.streaming import counts_by_window, sessions
 
@@ -221,29 +221,101 @@ def exact_dup_groups(spark, sf):
 
 def _rows(spark, sf):
     # keys are made once: the links read them several times
-    jobs = table(spark, sf, "jobs")
-    rows = jobs.select(c("id").alias("node"), "canonical_url", "ats_provider", "ats_job_id", listing.company_key(c("company")).alias("company"), listing.title_key(c("title")).alias("title_key"))
+    v = c("v")
+    jobs = spread(table(spark, sf, "jobs").select("id", "canonical_url", "ats_provider", "ats_job_id", "company", "title", "remote_scope", "data")).withColumn("v", F.try_parse_json("data"))
+    rows = jobs.select(
+        c("id").alias("node"), "canonical_url", "ats_provider", "ats_job_id", listing.company_key(c("company")).alias("company"), listing.title_key(c("title")).alias("title_key"), c("remote_scope").alias("scope"),
+        F.try_variant_get(v, "$.description_text", "string").alias("text"), F.coalesce(F.try_variant_get(v, "$.description_is_snippet", "boolean"), F.lit(True)).alias("snippet"),
+    )
     return materialize(rows, "linkage-keys")
 
 
-SQL_LINKS = f"""k AS (SELECT id, canonical_url, ats_provider, ats_job_id, {SQL_COMPANY} ck, {SQL_TITLE} tk FROM jobs),
-e AS (SELECT min(id) OVER (PARTITION BY canonical_url) a, id b FROM k WHERE canonical_url IS NOT NULL
- UNION SELECT min(id) OVER (PARTITION BY ats_provider, ats_job_id, ck), id FROM k WHERE ats_provider IS NOT NULL AND ats_job_id IS NOT NULL
- UNION SELECT min(id) OVER (PARTITION BY ck, tk), id FROM k WHERE ck <> '' AND tk <> '')"""
+SQL_LINKS = f"""k AS (SELECT id, nullif(canonical_url, '') u, nullif(ats_provider, '') p, nullif(ats_job_id, '') j, {SQL_COMPANY} ck, {SQL_TITLE} tk, coalesce(remote_scope, '') sc,
+ CASE WHEN json_valid(data) THEN data END d FROM jobs),
+x AS (SELECT *, json_extract_string(d, '$.description_text') tx, coalesce((json_extract(d, '$.description_is_snippet'))::BOOLEAN, true) sn FROM k),
+y AS (SELECT *, NOT sn AND coalesce(length(tx), 0) >= 400 l4, NOT sn AND coalesce(length(tx), 0) >= 300 l3, list_distinct(list_filter({sql_words("tk")}, lambda w: length(w) > 1)) tt, list_slice({sql_words("coalesce(tx, '')")}, 1, 600) w FROM x),
+z AS (SELECT *, CASE WHEN len(w) >= 3 THEN list_distinct([w[i] || ' ' || w[i+1] || ' ' || w[i+2] FOR i IN generate_series(1, len(w) - 2)]) ELSE [] END s FROM y),
+q AS (SELECT a.id a, b.id b, a.tk = b.tk same, NOT (a.l4 AND b.l4 AND a.sc <> b.sc) near, a.l3 AND b.l3 long, len(list_intersect(a.tt, b.tt)) ti, len(a.tt) + len(b.tt) tn, CASE WHEN a.l3 AND b.l3 THEN len(list_intersect(a.s, b.s)) ELSE 0 END si, len(a.s) + len(b.s) n
+ FROM z a JOIN z b ON a.ck = b.ck AND a.id < b.id WHERE a.ck <> '' AND a.tk <> '' AND b.tk <> ''),
+e AS (SELECT min(id) OVER (PARTITION BY u) a, id b FROM k WHERE u IS NOT NULL UNION SELECT min(id) OVER (PARTITION BY p, j, ck), id FROM k WHERE p IS NOT NULL AND j IS NOT NULL
+ UNION SELECT a, b FROM q WHERE same AND (near OR si >= 0.2 * (n - si)) UNION SELECT a, b FROM q WHERE NOT same AND long AND ti >= 0.6 * (tn - ti) AND si >= 0.75 * (n - si))"""
+SQL_GROUPS = f"""{SQL_LINKS}, b2 AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b), w AS (SELECT a AS node, a AS l FROM b2 UNION SELECT b2.b, w.l FROM w JOIN b2 ON w.node = b2.a WHERE w.l < b2.b)"""
 
 
-@query(f"WITH {SQL_LINKS} SELECT DISTINCT a, b FROM e WHERE a <> b")
+@query()
 def listing_links(spark, sf):
     return linkage.listing_links(_rows(spark, sf))
 
 
-@query(f"""WITH RECURSIVE {SQL_LINKS}, b2 AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b), w AS (SELECT a AS node, a AS l FROM b2 UNION SELECT b2.b, w.l FROM w JOIN b2 ON w.node = b2.a WHERE w.l < b2.b)
-SELECT k.id AS node, least(k.id, coalesce(min(w.l), k.id)) AS grp FROM k LEFT JOIN w ON w.node = k.id GROUP BY k.id""")
+@query(f"WITH RECURSIVE {SQL_GROUPS} SELECT k.id AS node, least(k.id, coalesce(min(w.l), k.id)) AS grp FROM k LEFT JOIN w ON w.node = k.id GROUP BY k.id")
 def dup_components(spark, sf):
     rows = _rows(spark, sf)
     return linkage.groups(rows, linkage.listing_links(rows))
 
 
+def _merge_rows(spark, sf):
+    jobs = spread(table(spark, sf, "jobs")).withColumn("v", F.try_parse_json("data"))
+    v = lambda path, kind="string": F.try_variant_get("v", f"$.{path}", kind)
+    return jobs.select(
+        "canonical_url", c("id").alias("node"), "title", "company", v("source_id").alias("source"), "ats_provider", "ats_job_id", "apply_url", "posted_at", v("date_confidence").alias("date_confidence"),
+        v("detail_fetched", "boolean").alias("detail_fetched"), v("description_is_snippet", "boolean").alias("snippet"), v("description_text").alias("text"), v("remote_confidence", "double").alias("remote_confidence"),
+        v("found_by", "array<string>").alias("found_by"), v("quality_flags", "array<string>").alias("quality_flags"), "company_domain", v("employment_type").alias("employment_type"),
+        F.struct(v("salary_min", "double").alias("min"), v("salary_max", "double").alias("max"), v("salary_currency").alias("currency"), v("salary_period").alias("period")).alias("salary"),
+    )
+
+
+_SQL_ROWS = """x AS (SELECT *, lower(regexp_extract(apply_url, '^https?://([^/:?#]+)', 1)) h, regexp_extract(apply_url, '^https?://[^/?#]+([^?#]*)', 1) pa, CASE WHEN json_valid(data) THEN data END d FROM jobs),
+y AS (SELECT *, json_extract_string(d, '$.source_id') src, json_extract_string(d, '$.date_confidence') cf, coalesce((json_extract(d, '$.detail_fetched'))::BOOLEAN, false) df, coalesce((json_extract(d, '$.description_is_snippet'))::BOOLEAN, true) sn,
+ json_extract_string(d, '$.description_text') tx, (json_extract(d, '$.remote_confidence'))::DOUBLE rc, (json_extract(d, '$.salary_min'))::DOUBLE s1, (json_extract(d, '$.salary_max'))::DOUBLE s2, json_extract_string(d, '$.employment_type') et,
+ regexp_matches(apply_url, '^https?://') AND NOT regexp_matches(h, '(^|[.])(linkedin|dice|remoteok|remotive|jobicy|simplyhired|ziprecruiter|monster|careerbuilder|builtin|wellfound|flexjobs|weworkremotely|talent|lensa|jobgether|jobviewtrack)[.]com$|(^|[.])(jooble[.]org|jobbank[.]gc[.]ca|jobright[.]ai|himalayas[.]app)$|(^|[.])(careerjet|glassdoor|adzuna)[.][a-z.]+$')
+  AND NOT regexp_matches(pa, '(?i)/(away|redirect|out|clk|click|rc/clk)($|[^a-z0-9_])') emp FROM x),
+z AS (SELECT *, CASE WHEN ats_provider <> '' THEN 100 ELSE 0 END + CASE WHEN emp THEN 50 ELSE 0 END + CASE cf WHEN 'exact' THEN 20 WHEN 'estimated' THEN 10 ELSE 0 END + CASE WHEN df THEN 10 ELSE 0 END + CASE WHEN sn THEN 0 ELSE least(20.0, coalesce(length(tx), 0) / 500.0) END
+ + CASE src WHEN 'linkedin' THEN 6 WHEN 'dice' THEN 6 WHEN 'remotive' THEN 5 WHEN 'jobicy' THEN 5 WHEN 'remoteok' THEN 5 WHEN 'simplyhired' THEN 3 WHEN 'canada_job_bank' THEN 3 WHEN 'careerjet' THEN 2 WHEN 'jooble' THEN 2 ELSE 1 END sc FROM y)"""
+
+
+@query(f"""WITH {_SQL_ROWS} SELECT canonical_url, first(id ORDER BY sc DESC, id) AS node, (count(*) - 1)::BIGINT AS duplicate_count, max(rc) AS remote_confidence,
+coalesce(first(posted_at ORDER BY CASE cf WHEN 'exact' THEN 0 WHEN 'estimated' THEN 1 ELSE 2 END, try_cast(posted_at AS TIMESTAMPTZ), sc DESC, id) FILTER (posted_at IS NOT NULL), '') AS posted_at,
+coalesce(first(apply_url ORDER BY CASE WHEN ats_provider <> '' THEN 0 ELSE 1 END, sc DESC, id) FILTER (emp), first(apply_url ORDER BY sc DESC, id), '') AS apply_url,
+coalesce(CASE WHEN first(sn OR coalesce(tx, '') = '' ORDER BY sc DESC, id) THEN first(length(tx) ORDER BY length(tx) DESC, sc DESC, id) FILTER (NOT sn AND tx <> '') END, first(length(tx) ORDER BY sc DESC, id))::BIGINT AS chars,
+coalesce(CASE WHEN first(s1 IS NULL AND s2 IS NULL ORDER BY sc DESC, id) THEN first(coalesce(s2, s1) ORDER BY sc DESC, id) FILTER (s1 IS NOT NULL OR s2 IS NOT NULL) END, first(coalesce(s2, s1) ORDER BY sc DESC, id)) AS pay,
+first(company_domain ORDER BY sc DESC, id) FILTER (company_domain IS NOT NULL) AS company_domain, first(et ORDER BY sc DESC, id) FILTER (et IS NOT NULL) AS employment_type FROM z GROUP BY canonical_url""")
+def merge_listings(spark, sf):
+    rows = _merge_rows(spark, sf).withColumn("__u", c("canonical_url"))
+    found = linkage.merged_groups(rows, "__u").drop("canonical_url")
+    pay = F.coalesce("salary.max", "salary.min")
+    return found.select("__u", "node", "duplicate_count", "remote_confidence", F.coalesce("posted_at", F.lit("")).alias("posted_at"), F.coalesce("apply_url", F.lit("")).alias("apply_url"), F.length("text").cast("bigint").alias("chars"), pay.alias("pay"), "company_domain", "employment_type").withColumnRenamed("__u", "canonical_url")
+
+
+@query(f"""WITH {_SQL_ROWS}, r AS (SELECT id, title, CASE WHEN posted_at IS NOT NULL THEN greatest(floor(date_diff('millisecond', try_cast(posted_at AS TIMESTAMPTZ), '{NOW}'::TIMESTAMPTZ) / 3600000.0 * 10 + 0.5) / 10, 0.0) END age, coalesce(rc, 0) rc, times_seen, CASE WHEN ats_provider <> '' THEN 2 WHEN emp THEN 1 ELSE 0 END er FROM z)
+SELECT id, row_number() OVER (ORDER BY age IS NULL, floor(age), rc DESC, times_seen DESC, er DESC, age, coalesce(title, ''), id)::BIGINT AS position FROM r""")
+def rank_listings(spark, sf):
+    jobs = table(spark, sf, "jobs").withColumn("v", F.try_parse_json("data"))
+    age = listing.age_hours(F.try_to_timestamp("posted_at"), F.to_timestamp(F.lit(NOW)))
+    employer = F.when(c("ats_provider") != "", 2).when(urls.is_employer(c("apply_url")), 1).otherwise(0)
+    rows = jobs.select("id", F.when(c("posted_at").isNotNull(), age).alias("age"), F.coalesce(F.try_variant_get("v", "$.remote_confidence", "double"), F.lit(0.0)).alias("remote"), "times_seen", employer.alias("employer"), F.coalesce("title", F.lit("")).alias("t"))
+    keys = linkage.rank_keys(c("age"), c("remote"), c("times_seen"), c("employer"), c("t"))
+    return linkage.ranked(rows, [*keys, F.asc("id")]).select("id", c("position").cast("bigint").alias("position"))
+
+
+SPLIT = "2026-03-01"
+
+
+@query(f"""WITH s AS (SELECT * FROM jobs WHERE first_seen_at < '{SPLIT}'), i AS (SELECT * FROM jobs WHERE first_seen_at >= '{SPLIT}'),
+u AS (SELECT canonical_url, min(id) f FROM s GROUP BY 1), a AS (SELECT ats_provider, ats_job_id, norm_company, min(id) f FROM s WHERE ats_provider <> '' AND ats_job_id <> '' GROUP BY ALL),
+p AS (SELECT fingerprint, arg_min(id, first_seen_at || id) f FROM s WHERE regexp_matches(fingerprint, '^[^|]+[|][^|]+$') GROUP BY 1),
+m AS (SELECT i.*, coalesce(u.f, a.f, p.f) f FROM i LEFT JOIN u ON i.canonical_url = u.canonical_url LEFT JOIN a ON i.ats_provider = a.ats_provider AND i.ats_job_id = a.ats_job_id AND i.norm_company = a.norm_company LEFT JOIN p ON i.fingerprint = p.fingerprint),
+n AS (SELECT s.id, count(*) k, last(m.posted_at ORDER BY m.id) po, last(m.posted_at ORDER BY m.id) FILTER (date_diff('millisecond', try_cast(coalesce(s.original_posted_at, s.posted_at) AS TIMESTAMPTZ), try_cast(m.posted_at AS TIMESTAMPTZ)) > 43200000) re,
+ last(m.ats_provider ORDER BY m.id) FILTER (m.ats_provider IS NOT NULL) ap, last(m.ats_job_id ORDER BY m.id) FILTER (m.ats_job_id IS NOT NULL) aj FROM m JOIN s ON m.f = s.id GROUP BY s.id)
+SELECT s.id, CASE WHEN k IS NOT NULL THEN false END AS is_new, s.first_seen_at, CASE WHEN k IS NOT NULL THEN '{NOW}' ELSE s.last_seen_at END AS last_seen_at, (s.times_seen + coalesce(k, 0))::BIGINT AS times_seen, CASE WHEN k IS NOT NULL THEN po ELSE s.posted_at END AS posted_at,
+ s.original_posted_at, coalesce(re, s.reposted_at) AS reposted_at, coalesce(ap, s.ats_provider) AS ats_provider, coalesce(aj, s.ats_job_id) AS ats_job_id FROM s LEFT JOIN n USING (id)
+UNION ALL SELECT id, true, '{NOW}', '{NOW}', 1, posted_at, posted_at, NULL, ats_provider, ats_job_id FROM m WHERE f IS NULL""")
+def upsert_listings(spark, sf):
+    jobs = table(spark, sf, "jobs").withColumn("company", c("norm_company"))
+    stored, came = jobs.where(c("first_seen_at") < SPLIT), jobs.where(c("first_seen_at") >= SPLIT).withColumnRenamed("id", "row_id")
+    found = materialize(state.resolved(came, stored), "upsert-resolved")
+    return state.upserted(stored, came.select("row_id", "posted_at", "ats_provider", "ats_job_id"), found, NOW)
+
+
 @query("""WITH t AS (SELECT id, canonical_url, row_number() OVER w AS rnk, first_value(id) OVER w AS top, count(*) OVER (PARTITION BY canonical_url) n FROM jobs WINDOW w AS (PARTITION BY canonical_url ORDER BY (ats_provider IS NOT NULL) DESC, times_seen DESC, id))
 SELECT id, canonical_url, rnk::INTEGER AS rank, CASE WHEN rnk > 1 THEN top END AS duplicate_of, rnk > 1 AS is_duplicate, (n - 1)::BIGINT AS duplicate_count FROM t""")
 def merge_survivors(spark, sf):
@@ -254,20 +326,14 @@ def merge_survivors(spark, sf):
 
 @query()
 def similar_titles(spark, sf):
-    d = c("v")
-    jobs = spread(table(spark, sf, "jobs").select("id", "company", "title", "data")).withColumn("v", F.try_parse_json("data")).select(
-        c("id").alias("node"), listing.company_key(c("company")).alias("company"), listing.title_key(c("title")).alias("title_key"), F.try_variant_get(d, "$.description_text", "string").alias("text"),
-        F.coalesce(F.try_variant_get(d, "$.description_is_snippet", "boolean"), F.lit(True)).alias("snippet"),
-    )
-    return linkage.similar_title_links(materialize(jobs, "linkage-texts"))
+    return linkage.similar_title_links(_rows(spark, sf))
 
 
-@query("""WITH RECURSIVE p AS (SELECT DISTINCT least(l_partkey, l_suppkey + 1000000) a, greatest(l_partkey, l_suppkey + 1000000) b FROM lineitem WHERE l_quantity > 49),
-q AS (SELECT a, b FROM p UNION SELECT b, a FROM p), w AS (SELECT a AS node, a AS l FROM q UNION SELECT q.b, w.l FROM w JOIN q ON w.node = q.a WHERE w.l < q.b AND w.l IN (SELECT min(a) FROM q))
-SELECT count(DISTINCT node) AS nodes FROM (SELECT a node FROM q)""")
+@query("""WITH RECURSIVE p AS (SELECT DISTINCT l_partkey a, l_suppkey + 1000000 b FROM lineitem), q AS (SELECT a, b FROM p UNION SELECT b, a FROM p), m AS (SELECT min(a) l FROM q),
+w AS (SELECT l AS node, l FROM m UNION SELECT q.b, w.l FROM w JOIN q ON w.node = q.a) SELECT n.node, coalesce(w.l, n.node) AS label FROM (SELECT DISTINCT a node FROM q) n LEFT JOIN w USING (node)""")
 def component_nodes(spark, sf):
-    pairs = table(spark, sf, "lineitem").where("l_quantity > 49").select(c("l_partkey").alias("a"), (c("l_suppkey") + 1_000_000).alias("b"))
-    return components(pairs).agg(F.count_distinct("node").alias("nodes"))
+    pairs = table(spark, sf, "lineitem").select(c("l_partkey").alias("a"), (c("l_suppkey") + 1_000_000).alias("b")).distinct()
+    return components(pairs)
 
 
 # -- sources and sinks
@@ -299,6 +365,50 @@ def json_lines(spark, sf):
     return rows.select(c("r_regionkey").alias("k"), F.to_json(F.struct("r_regionkey", "r_name")).alias("json"))
 
 
+@query("""WITH t AS (SELECT source, CASE WHEN count(*) FILTER (company IS NOT NULL) = 0 THEN 'ERROR' WHEN count(*) FILTER (company IS NULL) > 0 THEN 'PARTIAL' ELSE 'OK' END st FROM raw_jobs GROUP BY 1), f AS (SELECT coalesce(st, 'SKIPPED') st FROM feeds LEFT JOIN t USING (source))
+SELECT count(*) FILTER (st <> 'SKIPPED') AS attempted, count(*) FILTER (st IN ('OK', 'PARTIAL')) AS succeeded, count(*) FILTER (st IN ('ERROR', 'BLOCKED')) AS failed, count(*) FILTER (st = 'SKIPPED') AS skipped FROM f""")
+def status_summary(spark, sf):
+    every = table(spark, sf, "feeds").select("source").join(source_status(spark, sf), "source", "left").withColumn("status", F.coalesce("status", F.lit("SKIPPED")))
+    return sinks.status_summary(every)
+
+
+@query("""SELECT id, CASE WHEN id <> m THEN m END AS duplicate_of FROM (SELECT id, min(id) OVER (PARTITION BY canonical_url) m FROM jobs)""")
+def with_duplicates(spark, sf):
+    jobs = table(spark, sf, "jobs").select("id", "canonical_url")
+    least = jobs.groupBy("canonical_url").agg(F.min("id").alias("m"))
+    rows = jobs.join(least, "canonical_url").select("id", F.when(c("id") != c("m"), c("m")).alias("duplicate_of"))
+    return sinks.with_duplicates(rows.where("duplicate_of is null"), rows.where("duplicate_of is not null"), True)
+
+
+@query("""WITH t AS (SELECT id, CASE WHEN regexp_matches(lower(title), '(^|[^a-z0-9_])coder($|[^a-z0-9_])') THEN 3 ELSE 0 END a, CASE WHEN regexp_matches(lower(title), '(^|[^a-z0-9_])specialist($|[^a-z0-9_])') THEN 3 ELSE 0 END b, CASE WHEN regexp_matches(lower(title), '(^|[^a-z0-9_])remote($|[^a-z0-9_])') THEN 1 ELSE 0 END r FROM jobs),
+u AS (SELECT id, unnest([{'k': 'coder', 's': a}, {'k': 'specialist', 's': b}, {'k': 'remote', 's': r}], recursive := true) FROM t)
+SELECT id, coalesce(string_agg(k, ';' ORDER BY s DESC, length(k) DESC, k) FILTER (s > 0), '') AS terms FROM u GROUP BY id""")
+def term_matches(spark, sf):
+    title = F.coalesce(F.lower("title"), F.lit(""))
+    found = F.array(*[F.struct(F.lit(k).alias("term"), F.when(title.rlike(rf"(?<![a-z0-9_]){k}(?![a-z0-9_])"), n).otherwise(0).alias("score")) for k, n in (("coder", 3), ("specialist", 3), ("remote", 1))])
+    return table(spark, sf, "jobs").select("id", F.array_join(F.transform(rules.ranked_terms(found), lambda t: t["term"]), ";").alias("terms"))
+
+
+@query("""WITH t AS (SELECT id, apply_url, canonical_url, CASE WHEN times_seen % 5 = 0 THEN 404 ELSE 200 END st FROM jobs WHERE apply_url IS NOT NULL)
+SELECT id, CASE WHEN st = 404 THEN 'low_quality' END AS code, CASE WHEN st = 404 THEN 'broken_apply_url' END AS flag, apply_url FROM t""")
+def checked_links(spark, sf):
+    jobs = table(spark, sf, "jobs").where("apply_url is not null").select("id", "apply_url", "canonical_url", "times_seen")
+    answers = jobs.groupBy("apply_url").agg(F.max("times_seen")).select(c("apply_url").alias("url"), c("apply_url").alias("final_url"))
+    told = jobs.join(answers, c("apply_url") == c("url")).withColumn("status", F.when(c("times_seen") % 5 == 0, 404).otherwise(200))
+    return state.link_verdict(told, r"(^|\.)refused\.example$").select("id", "code", "flag", "apply_url")
+
+
+@query()
+def posted_resolved(spark, sf):
+    rows = table(spark, sf, "raw_jobs").select("raw_id", instants.posted_at(c("postedAt"), c("postedText"), c("fetchedAt")).alias("p"))
+    return rows.select("raw_id", F.date_format(F.timestamp_micros("p.at_us"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("posted_at"), c("p.confidence").alias("confidence"))
+
+
+@query()
+def salary_parsed(spark, sf):
+    return spread(table(spark, sf, "raw_jobs").select("raw_id", "salaryRaw")).select("raw_id", units.listing_salary(c("salaryRaw")).alias("s")).select("raw_id", "s.*")
+
+
 @query("SELECT source, count(*) AS n FROM (SELECT source, postedAt t FROM raw_jobs UNION ALL SELECT 'jobright', publishTime FROM jobright_items) GROUP BY source")
 def union_sources(spark, sf):
     a = table(spark, sf, "raw_jobs").select("source", c("postedAt").alias("t"))
@@ -378,8 +488,7 @@ def replace_by_key(spark, sf):
 
 @query("""SELECT source, source_key FROM job_sources WHERE last_seen_at >= '2026-06-01'""")
 def live_entries(spark, sf):
-    rows = table(spark, sf, "job_sources")
-    return rows.join(rows.where(c("last_seen_at") < "2026-06-01").select("source", "source_key"), ["source", "source_key"], "left_anti").select("source", "source_key")
+    return table(spark, sf, "job_sources").where(c("last_seen_at") >= "2026-06-01").select("source", "source_key")
 
 
 @query("SELECT lower(string_split(p, '=')[1]) LIKE 'utm\\_%' ESCAPE '\\' OR lower(string_split(p, '=')[1]) IN ('{0}') AS tracks, count(*) AS n FROM (SELECT unnest(string_split(regexp_extract(applyUrl, '\\?([^#]*)', 1), '&')) p FROM raw_jobs WHERE applyUrl IS NOT NULL) WHERE p <> '' GROUP BY 1".replace("{0}", "', '".join(urls.TRACKING)))
