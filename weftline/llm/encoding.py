@@ -172,14 +172,16 @@ def words_of(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
 
 
-def garbled_words(values: DataFrame, text: str = "text") -> DataFrame:
-    """The corpus' garbled words: word, original (null where it is lost), chain."""
-    seen = materialize(
-        values.select(F.xxhash64(text).alias("h"), F.explode(words_of(F.col(text))).alias("word")).groupBy("word").agg(F.count_distinct("h").alias("n")),
-        "encoding-words",
-    )
+def occurring(values: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """keys, __h (hash of the text), word: the words beyond ASCII of every value, as a table; the texts are gone through once."""
+    return materialize(values.select(*keys, F.xxhash64(text).alias("__h"), F.explode(words_of(F.col(text))).alias("word")), "encoding-occurring")
+
+
+def garbled_words(held: DataFrame) -> DataFrame:
+    """The corpus' garbled words: word, original (null where it is lost), chain. held: as of occurring."""
+    seen = materialize(held.groupBy("word").agg(F.count_distinct("__h").alias("n")), "encoding-words")
     marked = F.col("word").rlike("[\x80-\x9f�]")
-    cores = max(2, values.sparkSession.sparkContext.defaultParallelism)
+    cores = max(2, held.sparkSession.sparkContext.defaultParallelism)
     table = (
         seen.where(~marked)
         .repartition(cores, "word")
@@ -215,8 +217,8 @@ def garbled_words(values: DataFrame, text: str = "text") -> DataFrame:
 
 def affected(values: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """The distinct keys of values that hold a garbled word."""
-    bad = garbled_words(values, text)
-    return values.select(*keys, F.explode(words_of(F.col(text))).alias("word")).join(bad, "word", "left_semi").select(*keys).distinct()
+    held = occurring(values, keys, text)
+    return held.join(garbled_words(held), "word", "left_semi").select(*keys).distinct()
 
 
 def restored(values: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -225,11 +227,10 @@ def restored(values: DataFrame, keys: list[str], text: str = "text") -> DataFram
     A value is rebuilt from its own words: they are joined one by one, pre-aggregated into one map a value and
     substituted in place. Rows with the same key and text share one result.
     """
-    bad = garbled_words(values, text)
+    held = occurring(values, keys, text)
     maps = (
-        values.select(*keys, F.xxhash64(text).alias("__h"), F.explode(words_of(F.col(text))).alias("word"))
-        .distinct()
-        .join(bad, "word")
+        held.distinct()
+        .join(garbled_words(held), "word")
         .groupBy(*keys, "__h")
         .agg(F.collect_list(F.struct("word", "original", "chain")).alias("__w"))
     )
