@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.operators import history, instants, units
-from weftline.plans import table_queries, text_queries
+from weftline.plans import source_queries, table_queries, text_queries
 from weftline.plans.stages import table
 
 
@@ -28,14 +28,14 @@ def p5_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.job_ledger(table(spark, sf_dir, "job_snapshots"), table(spark, sf_dir, "scrape_runs"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = text_queries.QUERIES | table_queries.QUERIES | {
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = text_queries.QUERIES | table_queries.QUERIES | source_queries.QUERIES | {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_ledger": p5_ledger,
 }
 _TIDY = "nullif(trim(regexp_replace({0}, '[\\s\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{3000}}]+', ' ', 'g')), '')"
-ORACLES: dict[str, str] = text_queries.ORACLES | table_queries.ORACLES | {
+ORACLES: dict[str, str] = text_queries.ORACLES | table_queries.ORACLES | source_queries.ORACLES | {
     "p5_found": f"""WITH r AS (SELECT id, row_number() OVER (ORDER BY started_at, id) no FROM scrape_runs),
 c AS (SELECT s.job_id, r.no, s.run_id, s.loaded_at, ({', '.join(_TIDY.format(x) for x in history.WATCHED)}, coalesce(epoch_us(try_cast(trim(reposted_at) AS TIMESTAMPTZ))::VARCHAR, {_TIDY.format("reposted_at")})) st
  FROM job_snapshots s JOIN r ON s.run_id = r.id WHERE s.job_id IS NOT NULL),
