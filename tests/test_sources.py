@@ -65,10 +65,10 @@ def test_feeds(spark):
 
 
 def test_pages(spark):
-    card = '<div class="base-search-card" data-entity-urn="urn:li:jobPosting:4001"><a class="base-card__full-link" href="https://x/view/4001?y"></a><h3 class="base-search-card__title"> Coder </h3><h4 class="base-search-card__subtitle"><a href="c?z">Acme</a></h4><span class="job-search-card__location">Austin, TX</span><time datetime="2026-09-28">3 hours ago</time></div>'
+    card = '<div class="base-search-card" data-entity-urn="urn:li:jobPosting:4001"><a class="base-card__full-link" href="https://x/view/4001?y"></a><h3 class="base-search-card__title"> Coder </h3><h4 class="base-search-card__subtitle"><a href="c?z">Acme</a></h4><span class="base-search-card__location">Austin, TX</span><time datetime="2026-09-28">3 hours ago</time></div>'
     (r,) = rows(m.linkedin(payload(spark, f"<ul><li>{card}</li><li>{card}</li></ul>")))
     assert (r["sourceJobId"], r["title"], r["company"], r["location"], r["postedAt"], r["postedText"]) == ("4001", "Coder", "Acme", "Austin, TX", "2026-09-28", "3 hours ago")
-    page = '<div data-testid="job-card" data-job-guid="g-1"><a data-testid="job-search-job-detail-link" href="/job-detail/g-1">Biller</a><p data-testid="job-card-company-name">Acme</p><p>Remote • Today</p><p id="salary-label">$20</p></div>'
+    page = '<div data-testid="job-card" data-job-guid="g-1"><a data-testid="job-detail-link" href="/job-detail/g-1">Biller</a><p data-testid="job-card-company-name">Acme</p><p>Remote • Today</p><p id="salary-label">$20</p></div>'
     (r,) = rows(m.dice(payload(spark, page)))
     assert (r["sourceJobId"], r["title"], r["company"], r["location"], r["postedText"], r["salaryRaw"]) == ("g-1", "Biller", "Acme", "Remote", "Today", "$20")
 
@@ -85,3 +85,17 @@ def test_postings_inside_pages(spark):
 def test_title_list(spark):
     lines = spark.createDataFrame([("# note",), (" Coder ",), ("",)], "value string")
     assert [r.title for r in m.title_list(lines).collect()] == ["Coder"]
+
+
+def test_details_override_a_listing(spark):
+    detail = {"jobKey": "z", "jobTitle": "T", "jobDescriptionHtml": "<p>x</p>", "baseSalary": {"minMinor": 2500, "maxMinor": 0, "unitOfWork": "HOUR", "currencyCode": "USD"}}
+    page = '<script id="__NEXT_DATA__" type="x">' + json.dumps({"props": {"pageProps": {"viewJobData": detail}}}) + "</script>"
+    (r,) = rows(j.simplyhired_detail(payload(spark, page)))
+    assert (r["sourceJobId"], r["title"], r["descriptionIsSnippet"], r["salary"]) == ("z", "T", False, {"min": 25.0, "max": None, "currency": "USD", "period": "hour"})
+    assert rows(j.simplyhired_detail(payload(spark, "{broken"))) == []
+
+
+def test_summaries_are_stitched(spark):
+    items = [{"jobResult": {"jobId": "k", "jobTitle": "T", "jobSummary": " A  b. ", "coreResponsibilities": ["do x", " "], "requirements": ["know y", "know z"]}, "companyResult": {}}]
+    (r,) = rows(j.jobright(payload(spark, {"result": {"jobList": items}})))
+    assert r["descriptionText"] == "A b.\n\nResponsibilities:\n- do x\n\nRequirements:\n- know y\n- know z"

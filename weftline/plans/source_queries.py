@@ -92,7 +92,7 @@ _PLAIN = {"location": f"nullif({sql_collapse('location')}, '')", "company": f"nu
 def board_linkedin(spark, sf):
     number = F.concat(F.lit("1"), F.lpad(c("raw_id").cast("string"), 8, "0"))
     card = {"class": "base-search-card"}
-    parts = [_element("h3", c("title"), **{"class": card["class"] + "__title"}), _element("h4", c("company"), **{"class": card["class"] + "__subtitle"}), _element("span", c("location"), **{"class": "job-search-card__location"})]
+    parts = [_element("h3", c("title"), **{"class": card["class"] + "__title"}), _element("h4", c("company"), **{"class": card["class"] + "__subtitle"}), _element("span", c("location"), **{"class": "base-search-card__location"})]
     return _read(markup_boards.linkedin, spark, sf, F.concat(F.lit('<ul><li><div class="base-search-card" data-entity-urn="urn:li:jobPosting:'), number, F.lit('"><a href="#">x</a>'), *parts, F.lit("</div></li></ul>")))
 
 
@@ -102,3 +102,22 @@ def board_weworkremotely(spark, sf):
     title = html_escape(html_escape(F.concat("company", F.lit(": "), "title")))
     body = F.concat(F.lit("<rss><channel><item><title>"), title, F.lit("</title><link>https://weworkremotely.com/remote-jobs/"), c("raw_id"), F.lit("</link></item></channel></rss>"))
     return markup_boards.weworkremotely(rows.select(body.alias("body"), F.lit("2026-09-28T15:00:00Z").alias("fetchedAt"))).select(*_SHOWN)
+
+
+@query(_sql(sql_collapse("title"), "'d' || raw_id", location="nullif(trim(string_split(" + sql_collapse("location || ' • Today'") + ", '•')[1]), '')", company=_PLAIN["company"], where=_PLAIN["where"] + " AND location IS NOT NULL AND NOT contains(location, '•')"))
+def board_dice(spark, sf):
+    rows = spread(table(spark, sf, "raw_jobs").where("location is not null and not contains(location, '•')"))
+    parts = [_element("a", c("title"), data_testid="job-detail-link", href="/job-detail/x"), _element("p", c("company"), data_testid="job-card-company-name"), _element("p", F.concat("location", F.lit(" • Today")))]
+    body = F.concat(F.lit('<div data-testid="job-card" data-job-guid="d'), c("raw_id"), F.lit('">'), *parts, F.lit("</div>"))
+    return markup_boards.dice(rows.select(body.alias("body"), F.lit("2026-09-28T15:00:00Z").alias("fetchedAt"))).select(*_SHOWN)
+
+
+@query(_sql(sql_collapse("title"), "(5000 + raw_id)::VARCHAR", location=_PLAIN["location"], company=_PLAIN["company"], where=_PLAIN["where"] + " AND NOT regexp_matches(concat(company, title, location), '[\\x{0}-\\x{1F}]')"))
+def board_canada_job_bank(spark, sf):
+    rows = spread(table(spark, sf, "raw_jobs").where(r"not concat(coalesce(company, ''), coalesce(title, ''), coalesce(location, '')) rlike '[\\x{0}-\\x{1F}]'"))
+    field = lambda label, x: F.when(F.trim(x) != "", F.concat(F.lit(f"{label}: "), html_escape(html_escape(c(x)))))
+    told = F.concat_ws("&lt;br/&gt;", field("Employer", "company"), field("Location", "location"))
+    link = F.concat(F.lit('<link href="https://jobs.example/jobposting/'), 5000 + c("raw_id"), F.lit(';jsession=1"/>'))
+    body = F.concat(F.lit("<feed><entry><title>"), html_escape(html_escape(c("title"))), F.lit("</title>"), link, F.lit("<summary>"), told, F.lit("</summary></entry></feed>"))
+    found = markup_boards.canada_job_bank(rows.select(body.alias("body"), F.lit("2026-09-28T15:00:00Z").alias("fetchedAt"))).select(*_SHOWN)
+    return found.where("title <> ''")

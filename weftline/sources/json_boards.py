@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.listing import period_code
@@ -103,6 +103,16 @@ def himalayas(payloads: DataFrame) -> DataFrame:
     )
 
 
+def _stitched(items: DataFrame) -> Column:
+    """A description out of a summary and the lists beside it, each under its heading."""
+    parts = [F.nullif(collapse_ws(c("jobSummary")), F.lit(""))]
+    for column, heading in (("coreResponsibilities", "Responsibilities"), ("requirements", "Requirements")):
+        if column in items.columns:
+            lines = F.filter(F.transform(F.coalesce(column, F.array().cast("array<string>")), collapse_ws), lambda x: x != "")
+            parts.append(F.when(F.size(lines) > 0, F.concat(F.lit(f"{heading}:\n"), F.array_join(F.transform(lines, lambda x: F.concat(F.lit("- "), x)), "\n"))))
+    return F.nullif(F.concat_ws("\n\n", *parts), F.lit(""))
+
+
 def jobright_rows(items: DataFrame) -> DataFrame:
     """Listings of flat result rows (jobId, jobTitle, ...): times without a zone are UTC."""
     model = F.trim(F.coalesce("workModel", F.lit("")))
@@ -112,14 +122,14 @@ def jobright_rows(items: DataFrame) -> DataFrame:
     clock = F.regexp_extract(F.trim("publishTime"), r"^(\d{4}-\d{2}-\d{2})[ T](\d{2}:\d{2}(?::\d{2})?)$", 2)
     return filled(
         items.where("jobId <> '' and jobTitle <> ''"), source=F.lit("jobright"), sourceJobId=c("jobId"), title=collapse_ws(c("jobTitle")), company=text_or_null(c("companyName")), location=text_or_null(c("jobLocation")),
-        descriptionText=F.nullif(collapse_ws(c("jobSummary")), F.lit("")), descriptionIsSnippet=F.lit(True), employmentType=c("employmentType"), salaryRaw=text_or_null(c("salaryDesc")),
+        descriptionText=_stitched(items), descriptionIsSnippet=F.lit(True), employmentType=c("employmentType"), salaryRaw=text_or_null(c("salaryDesc")),
         postedAt=F.when(stamp != "", F.concat(stamp, F.lit("T"), clock, F.lit("Z"))), postedText=c("publishTimeDesc"), fetchedAt=c("fetchedAt"), jobUrl=F.concat(F.lit("https://jobright.ai/jobs/info/"), c("jobId")),
         tags=F.array_compact(F.array("jobSeniority")), remoteHints=F.when(kind.isNotNull(), F.array(told)).otherwise(F.array().cast("array<struct<kind:string,detail:string>>")), countryHint=F.lit("US"),
     )
 
 
 def jobright(payloads: DataFrame) -> DataFrame:
-    result = "jobId string, jobTitle string, jobNlpTitle string, jobSeniority string, jobLocation string, isRemote boolean, workModel string, publishTime string, publishTimeDesc string, salaryDesc string, employmentType string, jobSummary string"
+    result = "jobId string, jobTitle string, jobNlpTitle string, jobSeniority string, jobLocation string, isRemote boolean, workModel string, publishTime string, publishTimeDesc string, salaryDesc string, employmentType string, jobSummary string, coreResponsibilities array<string>, requirements array<string>"
     read = F.from_json("body", f"struct<result: struct<jobList: array<struct<jobResult: struct<{result}>, companyResult: struct<companyName: string>>>>>")
     rows = payloads.select("fetchedAt", F.inline(read["result"]["jobList"])).select("fetchedAt", "jobResult.*", "companyResult.companyName")
     return jobright_rows(rows.withColumn("jobTitle", F.coalesce(text_or_null(c("jobTitle")), c("jobNlpTitle"))))
@@ -139,3 +149,20 @@ def simplyhired(payloads: DataFrame) -> DataFrame:
         fetchedAt=c("fetchedAt"), jobUrl=F.concat(F.lit("https://www.simplyhired.com/job/"), c("jobKey")), remoteHints=F.transform(F.filter(F.coalesce("remoteAttributes", none), lambda a: a.rlike("(?i)hybrid|remote")), told),
         countryHint=F.lit("US"), viaFlag=F.coalesce("indeedApply", F.lit(False)),
     )
+
+
+def simplyhired_detail(payloads: DataFrame) -> DataFrame:
+    """Detail pages as columns that override a listing's (see state.override), by jobKey; pay is given in hundredths."""
+    data = F.regexp_extract("body", r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1)
+    detail = (
+        "jobKey string, jobTitle string, employerName string, formattedLocation string, jobDescriptionHtml string, datePublished string, dateOnIndeed string, compensation string, "
+        "baseSalary struct<minMinor: double, maxMinor: double, unitOfWork: string, currencyCode: string>, workSettings array<string>, isIndeedApply boolean"
+    )
+    read = F.from_json(data, f"struct<props: struct<pageProps: struct<viewJobData: struct<{detail}>, jobKey: string>>>")["props"]["pageProps"]
+    d = payloads.select(read["viewJobData"].alias("d"), read["jobKey"].alias("k"))
+    hundredth = lambda x: F.when(c(f"d.baseSalary.{x}") != 0, c(f"d.baseSalary.{x}") / 100)
+    return d.select(
+        F.coalesce("d.jobKey", "k").alias("sourceJobId"), c("d.jobTitle").alias("title"), c("d.employerName").alias("company"), c("d.formattedLocation").alias("location"), c("d.jobDescriptionHtml").alias("descriptionHtml"),
+        (F.coalesce("d.jobDescriptionHtml", F.lit("")) == "").alias("descriptionIsSnippet"), F.coalesce("d.datePublished", "d.dateOnIndeed").alias("postedAt"), c("d.compensation").alias("salaryRaw"),
+        pay(hundredth("minMinor"), hundredth("maxMinor"), c("d.baseSalary.currencyCode"), period_code(c("d.baseSalary.unitOfWork"))).alias("salary"), F.coalesce("d.isIndeedApply", F.lit(False)).alias("viaFlag"),
+    ).where("sourceJobId <> ''")

@@ -95,8 +95,9 @@ class _Cards(HTMLParser):
                     self.cards[-1][m] += data
 
 
-def _cls(name):
-    return lambda tag, a: name in (a.get("class") or "").split()
+def _cls(ending):
+    """Elements with a class of that ending, whatever the page's design puts before it."""
+    return lambda tag, a: any(k.endswith(ending) for k in (a.get("class") or "").split())
 
 
 _CARD = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("id", "href", "title", "company", "company_url", "location", "posted", "posted_text", "type", "pay")]))
@@ -105,12 +106,13 @@ _CARD = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("id
 @F.pandas_udf(_CARD)
 def _linkedin_cards(pages: pd.Series) -> pd.Series:
     marks = {
-        "link": lambda t, a: t == "a", "title": _cls("base-search-card__title"), "company": _cls("base-search-card__subtitle"), "location": _cls("job-search-card__location"),
-        "time": lambda t, a: t == "time", "pay": _cls("job-search-card__salary-info"),
+        "link": lambda t, a: t == "a", "title": _cls("-card__title"), "company": _cls("-card__subtitle"), "location": _cls("-card__location"),
+        "time": lambda t, a: t == "time", "pay": _cls("-card__salary-info"),
     }
 
     def one(page: str | None) -> list[dict]:
-        p = _Cards(lambda t, a: {"base-search-card", "job-search-card"} & set((a.get("class") or "").split()) or "jobPosting" in (a.get("data-entity-urn") or ""), marks)
+        is_card = _cls("-search-card")
+        p = _Cards(lambda t, a: is_card(t, a) or "jobPosting" in (a.get("data-entity-urn") or ""), marks)
         p.feed(page or "")
         return [
             {"id": k["_attrs"].get("data-entity-urn"), "href": k.get("link.attrs", {}).get("href"), "title": k.get("title"), "company": k.get("company"), "company_url": None, "location": k.get("location"), "posted": k.get("time.attrs", {}).get("datetime"), "posted_text": k.get("time"), "type": None, "pay": k.get("pay")}
@@ -137,7 +139,7 @@ def linkedin(payloads: DataFrame) -> DataFrame:
 def _dice_cards(pages: pd.Series) -> pd.Series:
     by = lambda key, value: lambda t, a: a.get(key) == value
     marks = {
-        "link": by("data-testid", "job-search-job-detail-link"), "company": by("data-testid", "job-card-company-name"), "place": lambda t, a: t == "p" and "company" not in (a.get("data-testid") or "") and "label" not in (a.get("id") or ""),
+        "link": lambda t, a: (a.get("data-testid") or "").endswith("job-detail-link"), "company": by("data-testid", "job-card-company-name"), "place": lambda t, a: t == "p" and "company" not in (a.get("data-testid") or "") and "label" not in (a.get("id") or ""),
         "type": by("id", "employmentType-label"), "pay": by("id", "salary-label"),
     }
 
