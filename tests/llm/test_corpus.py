@@ -304,6 +304,22 @@ def test_pairs_at_the_threshold_are_all_linked(spark, monkeypatch):
     assert got == {(2 * i, 2 * i + 1) for i in range(200)}
 
 
+def test_runs_are_written_once_and_blocks_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 20)
+    monkeypatch.setattr(neardup, "PIVOTS", 1)
+    monkeypatch.setattr(neardup, "GROUP", 1, raising=False)
+    written = []
+    keep = neardup.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda df, label: written.append((label, df.columns)) or keep(df, label))
+    texts = texts_for_groups(5, 60)
+    got = {}
+    for r in neardup.groups(spark.createDataFrame(list(enumerate(texts)), "id bigint, text string"), "id", "text", 3, 0.5).collect():
+        got.setdefault(r.group, set()).add(r.id)
+    assert {frozenset(x) for x in got.values()} == brute_groups(texts, 3, 0.5)
+    assert [label for label, columns in written if "runs" in columns and label != "neardup-asked-sets"] == ["neardup-nodes"]
+    assert sum(label == "neardup-apart" for label, _ in written) > 1
+
+
 # -- names ------------------------------------------------------------------------------------------------------
 
 REGISTER = ["Marrowgate Health Partners", "Elizabeth Stovdell & Associates", "Jurbinley Memorial Hospital", "Stolkgarth Children's Hospital", "Relstead Home Care", "Relstead Revenue Management", "Saint Waelkley Medical Group"]
