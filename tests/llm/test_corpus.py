@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -320,6 +321,27 @@ def test_runs_are_written_once_and_blocks_in_rounds(spark, monkeypatch):
     assert sum(label == "neardup-apart" for label, _ in written) > 1
 
 
+def test_first_runs_find_every_pair_that_is_similar_enough():
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(150):
+        base = rng.choice(3000, rng.integers(5, 90), replace=False)
+        for share in (1, 0.95, 0.7):
+            sets.append(np.unique(np.r_[rng.choice(base, max(1, int(len(base) * share)), replace=False), rng.choice(3000, 1)]).astype(np.uint32) * np.uint32(2654435761))
+    sets = sorted((np.sort(v) for v in sets), key=len)
+    n, v = np.array([len(x) for x in sets]), np.concatenate(sets)
+    often = np.bincount(v & np.uint32(neardup.SLOTS - 1), minlength=neardup.SLOTS)
+    maps = neardup._maps512(v, np.repeat(np.arange(len(n)), n), len(n)).view(np.uint64)
+    for s in (500, 800):
+        side = neardup._Side(n, maps, np.frombuffer(b"".join(neardup._codes(v, n, often, s)), np.uint16), s)
+        found = set(zip(*(x.tolist() for x in neardup._near(side, side))))
+        both = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i in range(len(n)) for j in range(len(n))}
+        like = {(i, j) for (i, j), k in both.items() if k * (1000 + s) >= (n[i] + n[j]) * s}
+        assert like <= found and len(like) > len(n)
+        few = side.slice(100, 200)
+        assert {(i + 100, j) for i, j in zip(*(x.tolist() for x in neardup._near(few, side)))} >= {p for p in like if 100 <= p[0] < 200}
+
+
 # -- names ------------------------------------------------------------------------------------------------------
 
 REGISTER = ["Marrowgate Health Partners", "Elizabeth Stovdell & Associates", "Jurbinley Memorial Hospital", "Stolkgarth Children's Hospital", "Relstead Home Care", "Relstead Revenue Management", "Saint Waelkley Medical Group"]
